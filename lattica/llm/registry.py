@@ -6,6 +6,10 @@ from importlib import import_module
 
 #: name of the query: (module, attribute with its SQL or None)
 OPERATORS = {
+    "op1_line_dedup": ("line_dedup", "ORACLE_SQL"),
+    "op6_packing": ("packing", None),
+    "op8_exact_dedup": ("exact_dedup", "ORACLE_SQL"),
+    "op9_mixing": ("mixing", None),
     "op10_quality_rules": ("quality_rules", "ORACLE_SQL"),
 }
 
