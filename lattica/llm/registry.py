@@ -7,6 +7,7 @@ from importlib import import_module
 #: name of the query: (module, attribute with its SQL or None)
 OPERATORS = {
     "op1_line_dedup": ("line_dedup", "ORACLE_SQL"),
+    "op2_ngram_join": ("ngram_join", None),
     "op6_packing": ("packing", None),
     "op8_exact_dedup": ("exact_dedup", "ORACLE_SQL"),
     "op9_mixing": ("mixing", None),
