@@ -8,7 +8,9 @@ from importlib import import_module
 OPERATORS = {
     "op1_line_dedup": ("line_dedup", "ORACLE_SQL"),
     "op2_ngram_join": ("ngram_join", None),
+    "op3_lm_score": ("lm_score", None),
     "op4_substring_dedup": ("substring_dedup", None),
+    "op5_language_id": ("language_id", None),
     "op6_packing": ("packing", None),
     "op8_exact_dedup": ("exact_dedup", "ORACLE_SQL"),
     "op9_mixing": ("mixing", None),
