@@ -12,6 +12,7 @@ OPERATORS = {
     "op4_substring_dedup": ("substring_dedup", None),
     "op5_language_id": ("language_id", None),
     "op6_packing": ("packing", None),
+    "op7_secret_scan": ("secret_scan", None),
     "op8_exact_dedup": ("exact_dedup", "ORACLE_SQL"),
     "op9_mixing": ("mixing", None),
     "op10_quality_rules": ("quality_rules", "ORACLE_SQL"),
