@@ -131,6 +131,20 @@ def _windows(min_words: int, anchor: int):
     return run
 
 
+def _alone(group: np.ndarray, word: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether no other document of the group goes on with the same word."""
+    order = np.lexsort((doc, word, group))
+    g, w, d = group[order], word[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])) if len(g) else np.zeros(0, np.int64)
+    if not len(first):
+        return np.zeros(0, bool)
+    size = np.diff(np.append(first, len(g)))
+    one = (d[first] == d[first + size - 1]) | (w[first] == 0)
+    out = np.empty(len(g), bool)
+    out[order] = np.repeat(one, size)
+    return out
+
+
 def _boundaries(batches):
     """Of windows sorted by key, doc_id and pos: the occurrences of those that start a maximal repeat, and of those that end one."""
     import pyarrow as pa
@@ -156,8 +170,9 @@ def _boundaries(batches):
         a, b = np.flatnonzero(np.repeat(starts, size)), np.flatnonzero(np.repeat(ends, size))
         at = np.concatenate([a, b])
         head = lo[group[at]]
+        alone = np.concatenate([_alone(group[a], before[a], doc[a]), _alone(group[b], after[b], doc[b])])
         begins = pa.array(np.concatenate([np.ones(len(a), bool), np.zeros(len(b), bool)]))
-        rows = pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(pos[head]), pa.array(doc[at]), pa.array(pos[at]), begins, pa.array(np.concatenate([before[a], after[b]]))], ["first_doc", "first_pos", "doc_id", "pos", "begins", "word"])
+        rows = pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(pos[head]), pa.array(doc[at]), pa.array(pos[at]), begins, pa.array(np.concatenate([before[a], after[b]])), pa.array(alone)], ["first_doc", "first_pos", "doc_id", "pos", "begins", "word", "alone"])
         return rest, rows
 
     rest = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
@@ -182,10 +197,10 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
     seeds = shared.groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
     windows = texts.join(seeds, "doc_id").mapInArrow(_windows(min_words, anchor), "key long, doc_id long, pos int, sides long")
     bounds = cut(
-        windows.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(_boundaries, "first_doc long, first_pos int, doc_id long, pos int, begins boolean, word long")
+        windows.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(_boundaries, "first_doc long, first_pos int, doc_id long, pos int, begins boolean, word long, alone boolean")
     )
     # a set of occurrences begins where words before differ, or goes on where others leave it
-    parts = bounds.where("NOT begins AND word > 0").groupBy("first_doc", "first_pos", "word").agg(F.collect_list(F.struct("doc_id", "pos")).alias("o"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    parts = bounds.where("NOT begins AND NOT alone").groupBy("first_doc", "first_pos", "word").agg(F.collect_list(F.struct("doc_id", "pos")).alias("o"))
     sets = bounds.where("begins").select("first_doc", "first_pos", F.lit(0).cast("long").alias("part"), "doc_id", "pos").unionByName(
         parts.select("first_doc", "first_pos", F.col("word").alias("part"), F.explode("o").alias("o")).select("first_doc", "first_pos", "part", "o.*")
     )
@@ -204,17 +219,21 @@ def _reach(sets: DataFrame, events: DataFrame, sign: int) -> DataFrame:
     All occurrences of a set meet the same events until then.
     """
     at = (F.col("pos") * sign).alias("p")
-    both = sets.select(*_SET, "doc_id", at, F.lit(None).cast("long").alias("word")).unionByName(
-        events.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(_SET, ("long", "int", "long"))], "doc_id", at, "word")
+    both = sets.select(*_SET, "doc_id", at, F.lit(None).cast("long").alias("word"), F.lit(False).alias("alone")).unionByName(
+        events.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(_SET, ("long", "int", "long"))], "doc_id", at, "word", "alone")
     )
-    ahead = Window.partitionBy("doc_id").orderBy("p", F.col("word").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
-    met = F.first(F.when(F.col("word").isNotNull(), F.struct("p", "word")), ignorenulls=True).over(ahead)
-    next_ = both.withColumn("e", met).where("word IS NULL").select(*_SET, "doc_id", "p", (F.col("e.p") - F.col("p")).alias("d"), F.col("e.word").alias("word"))
+    # from the far end on, so that the frame only grows; an event comes before a set at its place
+    ahead = Window.partitionBy("doc_id").orderBy(F.desc("p"), F.col("word").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    met = F.last(F.when(F.col("word").isNotNull(), F.struct("p", "word")), ignorenulls=True).over(ahead)
+    # a document's stretch of repeats ends at the event that leaves it alone; no set reaches further
+    stretch = F.last(F.when(F.col("alone"), F.col("p")), ignorenulls=True).over(ahead)
+    known = both.select("*", met.alias("e"), stretch.alias("stretch"))
+    next_ = known.where("word IS NULL").select(*_SET, "doc_id", "p", "stretch", (F.col("e.p") - F.col("p")).alias("d"), F.col("e.word").alias("word"))
     one = (F.min("word") == F.max("word")) & (F.min("word") > 0)
     first = next_.groupBy(*_SET).agg(F.min("d").alias("d"), one.alias("goes_on"), F.count(F.lit(1)).alias("of"))
     # where all go on with one word, a later event parts them
-    open_ = next_.join(first.where("goes_on").select(*_SET, F.col("d").alias("past"), "of"), _SET).select(*_SET, "doc_id", "p", "past", "of")
-    later = open_.join(events.select("doc_id", (F.col("pos") * sign).alias("q"), "word"), "doc_id").where(F.col("q") - F.col("p") > F.col("past"))
+    open_ = next_.join(first.where("goes_on").select(*_SET, F.col("d").alias("past"), "of"), _SET).select(*_SET, "doc_id", "p", "stretch", "past", "of")
+    later = open_.join(known.where("word IS NOT NULL").select("doc_id", "stretch", F.col("p").alias("q"), "word"), ["doc_id", "stretch"]).where(F.col("q") - F.col("p") > F.col("past"))
     parted = later.groupBy(*_SET, "of", (F.col("q") - F.col("p")).alias("d")).agg(F.count(F.lit(1)).alias("n"), one.alias("goes_on")).where("n = of AND NOT goes_on")
     return first.where("NOT goes_on").select(*_SET, "d").unionByName(parted.groupBy(*_SET).agg(F.min("d").alias("d")))
 
