@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SKIPPED = {".git", "node_modules"}
+SKIPPED = {".git", "node_modules", ".lattica"}
 
 
 def ignore_patterns(root: str) -> list[str]:
@@ -82,4 +82,5 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
     real = spark.createDataFrame([(p, Path(root, p).resolve().as_uri()) for p in paths], "path string, uri string")
     plain = F.regexp_replace(F.col("raw_path"), "^file:/*", "file:///")
     texts = raw.select(F.col("path").alias("raw_path"), F.decode("content", "UTF-8").alias("text")).select(plain.alias("uri"), "text").dropDuplicates(["uri"])
-    return real.join(texts, "uri").join(order, "path").select("path", "text", "ord")
+    # Spark's readers pass over empty files
+    return real.join(texts, "uri", "left").join(order, "path").select("path", F.coalesce("text", F.lit("")).alias("text"), "ord")
