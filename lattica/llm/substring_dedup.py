@@ -219,7 +219,9 @@ def _reach(sets: DataFrame, events: DataFrame, sign: int) -> DataFrame:
     All occurrences of a set meet the same events until then.
     """
     at = (F.col("pos") * sign).alias("p")
-    both = sets.select(*_SET, "doc_id", at, F.lit(None).cast("long").alias("word"), F.lit(False).alias("alone")).unionByName(
+    # a part goes on past the end that made it
+    own = F.when(F.col("part") != 0, 1).otherwise(0) if sign > 0 else F.lit(0)
+    both = sets.select(*_SET, "doc_id", (F.col("pos") * sign + own).alias("p"), F.lit(None).cast("long").alias("word"), F.lit(False).alias("alone")).unionByName(
         events.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(_SET, ("long", "int", "long"))], "doc_id", at, "word", "alone")
     )
     # from the far end on, so that the frame only grows; an event comes before a set at its place
@@ -235,7 +237,8 @@ def _reach(sets: DataFrame, events: DataFrame, sign: int) -> DataFrame:
     open_ = next_.join(first.where("goes_on").select(*_SET, F.col("d").alias("past"), "of"), _SET).select(*_SET, "doc_id", "p", "stretch", "past", "of")
     later = open_.join(known.where("word IS NOT NULL").select("doc_id", "stretch", F.col("p").alias("q"), "word"), ["doc_id", "stretch"]).where(F.col("q") - F.col("p") > F.col("past"))
     parted = later.groupBy(*_SET, "of", (F.col("q") - F.col("p")).alias("d")).agg(F.count(F.lit(1)).alias("n"), one.alias("goes_on")).where("n = of AND NOT goes_on")
-    return first.where("NOT goes_on").select(*_SET, "d").unionByName(parted.groupBy(*_SET).agg(F.min("d").alias("d")))
+    found = first.where("NOT goes_on").select(*_SET, "d").unionByName(parted.groupBy(*_SET).agg(F.min("d").alias("d")))
+    return found.select(*_SET, (F.col("d") + own).alias("d"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
