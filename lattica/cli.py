@@ -76,9 +76,14 @@ def open_graph(spark: SparkSession, root: str, force: bool = False) -> q.Analysi
     return q.Analysis(graph)
 
 
+def hotspots(a: q.Analysis, metric: str, limit: int) -> dict[str, DataFrame]:
+    top = q.hotspots(a, metric, limit)
+    return {"hotspots": top, "summary": q.hotspot_summary(top, metric)}
+
+
 def answer(a: q.Analysis, spark: SparkSession, args: argparse.Namespace) -> DataFrame | dict[str, DataFrame]:
     run = {
-        "overview": lambda: q.overview(a), "file": lambda: q.file_context(a, args.path), "dependents": lambda: q.dependents(a, args.path, args.depth), "hotspots": lambda: q.hotspots(a, args.metric, args.limit),
+        "overview": lambda: q.overview(a), "file": lambda: q.file_context(a, args.path), "dependents": lambda: q.dependents(a, args.path, args.depth), "hotspots": lambda: hotspots(a, args.metric, args.limit),
         "modules": lambda: q.module_structure(a), "forces": lambda: q.forces(a, args.cohesion, args.tension, args.escape), "dead-exports": lambda: q.dead_exports(a, args.module, args.limit), "groups": lambda: q.groups(a),
         "symbol": lambda: q.symbol_context(a, args.name), "search": lambda: q.search_files(a, args.query, args.limit), "changes": lambda: q.changes(a, commits.changed(spark, args.root, args.scope)),
         "impact": lambda: q.impact(a, args.name), "rename": lambda: q.rename(a, args.name, args.new_name, not args.no_dry_run), "processes": lambda: q.processes(a, args.entry, args.limit), "clusters": lambda: q.clusters(a, args.min_files),

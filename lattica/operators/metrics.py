@@ -109,7 +109,7 @@ def tension_files(graph: CodeGraph, least: float = 0.3) -> DataFrame:
     # entropy of shares s/t is ln t - sum(s ln s)/t
     tension = half_up((F.ln("t") - F.col("sl") / F.col("t")) / F.ln("k"), 2)
     part = lambda i: F.concat(basename(F.regexp_replace(F.col("r")[i]["module"], "/$", "")), F.lit("-"), base)
-    advice = F.when(hub, "Type hub: keep, the types are shared by design").when(entry, "Entry point: keep, it ties the program together").otherwise(F.concat(F.lit("Split into "), part(0), F.lit(" and "), part(1)))
+    advice = F.when(hub, "Type hub — split not recommended (design-intentional shared types)").when(entry, "Entry point — split not recommended (CLI/app entry point)").otherwise(F.concat(F.lit("Split into "), part(0), F.lit(" and "), part(1)))
     shown = F.transform("r", lambda x: F.struct(x["module"].alias("module"), x["strength"].alias("strength"), x["symbols"].alias("symbols")))
     return pulled.select("file", tension.alias("tension"), shown.alias("pulled_by"), advice.alias("recommendation")).where(F.col("tension") > least)
 
@@ -121,12 +121,12 @@ def bridge_files(graph: CodeGraph, betweenness: DataFrame, least: float = 0.05)
     own, far = of.toDF("file", "m"), of.toDF("other", "n")
     met = linked.join(betweenness.where(F.col("betweenness") >= least).select(F.col("path").alias("file"), "betweenness"), "file").join(own, "file").join(far, "other").where("m <> n")
     out = met.groupBy("file").agg(F.first("betweenness").alias("b"), F.array_sort(F.collect_set("n")).alias("connects")).where(F.size("connects") >= 2)
-    return out.select("file", half_up(F.col("b"), 2).alias("betweenness"), "connects", F.concat(F.lit("Bridge between "), F.size("connects"), F.lit(" modules")).alias("role"))
+    return out.select("file", half_up(F.col("b"), 2).alias("betweenness"), "connects", F.concat(F.lit("Bridge between "), F.size("connects"), F.lit(" otherwise-disconnected modules")).alias("role"))
 
 
 def extraction_candidates(modules: DataFrame, least: float = 0.5) -> DataFrame:
     left = F.when(F.col("external_deps") == 0, "0 deps on host codebase").otherwise(F.concat(F.col("external_deps"), F.lit(" deps to resolve")))
-    return modules.where(F.col("escape_velocity") >= least).select(F.col("path").alias("target"), "escape_velocity", "internal_deps", "external_deps", F.size("depended_by").alias("depended_by_modules"), F.concat(F.lit("Extract to a package of its own: "), left).alias("recommendation"))
+    return modules.where(F.col("escape_velocity") >= least).select(F.col("path").alias("target"), "escape_velocity", "internal_deps", "external_deps", F.size("depended_by").alias("depended_by_modules"), F.concat(F.lit("Extract to standalone package — "), left).alias("recommendation"))
 
 
 def force_summary(verdicts: DataFrame, tension: DataFrame, extraction: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def force_summary(verdicts: DataFrame, tension: DataFrame, extraction: DataFrame
         F.when(F.col("nt") > 0, F.concat(F.col("nt"), F.lit(" tension file(s) need splitting"))),
         F.when(F.col("pe") != "", F.concat(F.col("pe"), F.lit(" ready for extraction"))),
     )
-    return junk.crossJoin(tense).crossJoin(ready).select(F.when(parts == "", "The architecture looks balanced.").otherwise(F.concat(parts, F.lit("."))).alias("summary"))
+    return junk.crossJoin(tense).crossJoin(ready).select(F.concat(F.when(parts == "", "Codebase architecture looks healthy. No major force imbalances detected.").otherwise(parts), F.lit(".")).alias("summary"))
 
 
 def stats(graph: CodeGraph) -> DataFrame:

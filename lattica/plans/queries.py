@@ -196,6 +196,12 @@ def hotspots(a: Analysis, metric: str, limit: int = 10) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "ord")).alias("rank"), "path", "score", "reason")
 
 
+def hotspot_summary(top: DataFrame, metric: str) -> DataFrame:
+    """One row: the first hotspot in words."""
+    one = top.where("rank = 1").select(F.format_string(f"Top {metric} hotspot: %s (%.2f). %s.", "path", "score", "reason").alias("s"))
+    return one.agg(F.coalesce(F.max("s"), F.lit(f"No significant {metric} hotspots found.")).alias("summary"))
+
+
 def module_structure(a: Analysis) -> dict[str, DataFrame]:
     """modules, cross_module_deps (edges between two modules), circular_deps."""
     pairs = metrics.module_pairs(a.graph).where("a <> b").orderBy(F.desc("n"), "ord")
@@ -226,7 +232,10 @@ def dead_exports(a: Analysis, module: str | None = None, limit: int = 20) -> dic
     own = g.exports.where(F.col("kind").isin("function", "class")).groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("total_exports"))
     rows = files.join(dead, "path").join(own, "path", "left").na.fill(0, ["total_exports"])
     top = rows.orderBy(F.size("dead_exports").desc(), "ord").limit(limit)
-    return {"total": rows.agg(F.coalesce(F.sum(F.size("dead_exports")), F.lit(0)).alias("total_dead_exports")), "files": top.select("path", "module", "dead_exports", "total_exports")}
+    total = rows.agg(F.coalesce(F.sum(F.size("dead_exports")), F.lit(0)).alias("total_dead_exports"), F.least(F.count(F.lit(1)), F.lit(limit)).alias("shown"))
+    text = F.concat("total_dead_exports", F.lit(" unused exports across "), "shown", F.lit(" files. Consider removing to reduce API surface."))
+    summary = total.select(F.when(F.col("total_dead_exports") > 0, text).otherwise("No dead exports found.").alias("summary"))
+    return {"total": total.drop("shown"), "summary": summary, "files": top.select("path", "module", "dead_exports", "total_exports")}
 
 
 def groups(a: Analysis) -> DataFrame:

@@ -206,7 +206,7 @@ def _(spark, sf_dir):
 
 
 @_register("bridge_files", f"""WITH RECURSIVE {_TRADE}, {_PATHS}, nb AS (SELECT source AS file, a AS m, b AS n FROM e UNION ALL SELECT target, b, a FROM e)
-SELECT file, floor(any_value(betweenness) * 100 + 0.5) / 100 AS betweenness, array_to_string(list_sort(list(DISTINCT n)), ',') AS connects, 'Bridge between ' || count(DISTINCT n) || ' modules' AS role
+SELECT file, floor(any_value(betweenness) * 100 + 0.5) / 100 AS betweenness, array_to_string(list_sort(list(DISTINCT n)), ',') AS connects, 'Bridge between ' || count(DISTINCT n) || ' otherwise-disconnected modules' AS role
 FROM nb JOIN bt ON path = file WHERE m <> n AND {_six('betweenness')} >= 0.05 GROUP BY file HAVING count(DISTINCT n) >= 2""")
 def _(spark, sf_dir):
     a = _trade(spark, sf_dir)
@@ -259,14 +259,14 @@ def _(spark, sf_dir):
     return t.select("file", "tension", F.array_join("pulled_by.module", ",").alias("pulled_by"), "recommendation")
 
 
-@_register("extraction_candidates", f"WITH {_PARTS}, {_MODULES} SELECT module AS target, escape_velocity, internal_deps, external_deps, n_users::INT AS depended_by_modules, 'Extract to a package of its own: 0 deps on host codebase' AS recommendation FROM mm WHERE escape_velocity >= 0.01")
+@_register("extraction_candidates", f"WITH {_PARTS}, {_MODULES} SELECT module AS target, escape_velocity, internal_deps, external_deps, n_users::INT AS depended_by_modules, 'Extract to standalone package — 0 deps on host codebase' AS recommendation FROM mm WHERE escape_velocity >= 0.01")
 def _(spark, sf_dir):
     return metrics.extraction_candidates(metrics.module_metrics(b.parts(spark, sf_dir)), 0.01)
 
 
 @_register("force_summary", f"""WITH {_PARTS}, {_MODULES}, {_PULLS}, j AS (SELECT count(*) AS n, string_agg(module, ', ' ORDER BY ord) AS l FROM mm WHERE plain > 1 AND cohesion < 0.4),
 x AS (SELECT concat_ws('. ', CASE WHEN n > 0 THEN n || ' junk-drawer module(s) (' || l || ')' END, (SELECT CASE WHEN count(*) > 0 THEN count(*) || ' tension file(s) need splitting' END FROM tt),
-    (SELECT string_agg(module, ', ' ORDER BY module) || ' ready for extraction' FROM mm WHERE escape_velocity >= 0.5)) AS s FROM j) SELECT CASE WHEN s = '' THEN 'The architecture looks balanced.' ELSE s || '.' END AS summary FROM x""")
+    (SELECT string_agg(module, ', ' ORDER BY module) || ' ready for extraction' FROM mm WHERE escape_velocity >= 0.5)) AS s FROM j) SELECT CASE WHEN s = '' THEN 'Codebase architecture looks healthy. No major force imbalances detected.' ELSE s END || '.' AS summary FROM x""")
 def _(spark, sf_dir):
     g = b.parts(spark, sf_dir)
     m = metrics.module_metrics(g)

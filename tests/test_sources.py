@@ -192,3 +192,34 @@ def test_store_is_reused_for_the_same_head_only(spark, graph, tmp_path):
     store.save(graph, folder, "abc")
     assert store.usable(spark, folder, "abc").edges.count() == graph.edges.count()
     assert store.usable(spark, folder, "abd") is None and store.usable(spark, folder, "abc", True) is None and store.usable(spark, folder, "unknown") is None
+
+
+def test_server(spark, root, graph):
+    import json
+
+    from lattica import server
+
+    a, out = q.Analysis(graph), []
+    ask = [
+        {"id": 1, "method": "initialize", "params": {}}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "find_hotspots", "arguments": {"metric": "fan_in"}}},
+        {"id": 4, "method": "tools/call", "params": {"name": "symbol_context", "arguments": {"name": "nobody"}}}, {"id": 5, "method": "nonsense"}, {"id": 6, "method": "resources/read", "params": {"uri": "codebase://processes"}}, {"id": 7, "method": "prompts/list"},
+    ]
+    server.serve(a, spark, root, [json.dumps(x) for x in ask] + ["{"], out.append)
+    got = [json.loads(x) for x in out]
+    assert [x["id"] for x in got] == [1, 2, 3, 4, 5, 6, 7, None] and len(got[1]["result"]["tools"]) == 15
+    assert json.loads(got[2]["result"]["content"][0]["text"])["nextSteps"] == ["file", "forces"]
+    assert got[3]["result"]["isError"] and "error" in got[4] and "main" in got[5]["result"]["contents"][0]["text"]
+
+
+def test_streaming_churn(spark, tmp_path):
+    from datetime import datetime
+
+    from lattica.streaming.churn import windowed_churn
+
+    rows = [(datetime(2024, 1, d, 5), f) for d, f in [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (5, "z")]]
+    spark.createDataFrame(rows, "ts timestamp, file string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, file string").parquet(str(tmp_path / "in"))
+    run = windowed_churn(stream).writeStream.outputMode("complete").format("memory").queryName("churned").start()
+    run.processAllAvailable()
+    run.stop()
+    assert sorted((r["start"].day, r["file"], r["churn"]) for r in spark.table("churned").collect()) == [(1, "a", 2), (1, "b", 1), (2, "a", 1), (5, "z", 1)]
