@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 
+#: Rounds after which what was reached becomes one table again.
+EVERY = 8
+
 
 def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """origin, node, depth: what each origin reaches along source -> target, by least number of steps.
@@ -34,6 +37,8 @@ def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | No
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % EVERY == 0:
+            seen = cut(seen)
     return seen.where("depth > 0")
 
 
@@ -91,6 +96,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) ->
             break
         levels.append(level)
         seen = seen.union(level.select("s", "v"))
+        if len(levels) % EVERY == 0:
+            seen = cut(seen)
     given = None  # s, w, paths, dependency of the level behind
     sums = []
     for d in range(len(levels) - 1, 0, -1):
