@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 
 PER_LANGUAGE, BITS, COST, EPOCHS, SEED = 300, 14, 1e4, 20, 7
+#: Tables of up to this many languages are broadcast.
+BROADCAST_LANGUAGES = 10_000
 FAMILIES = {
     **dict.fromkeys(("en", "de", "nl", "sv", "da", "no", "is", "af"), "germanic"),
     **dict.fromkeys(("fr", "es", "it", "pt", "ro", "ca", "gl"), "romance"),
@@ -151,7 +153,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
     # only hashes are ranked; the texts follow for the few that stay
     by = Window.partitionBy("lang").orderBy("h")
     few = keyed.select("lang", "h").withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
-    rows = keyed.join(F.broadcast(few), "lang").where("h <= most").dropDuplicates(["lang", "h"]).select("text", "lang").collect()
+    few = F.broadcast(few) if few.count() <= BROADCAST_LANGUAGES else few
+    rows = keyed.join(few, "lang").where("h <= most").dropDuplicates(["lang", "h"]).select("text", "lang").collect()
     return sorted((r["text"], r["lang"]) for r in rows)
 
 
