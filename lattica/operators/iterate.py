@@ -14,6 +14,8 @@ from ..functions.lineage import cut
 
 #: Rounds after which what was reached becomes one table again.
 EVERY = 8
+#: Edge tables of up to this many rows are broadcast in each round, larger ones shuffled.
+BROADCAST_EDGES = 200_000
 
 
 def reach(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
@@ -62,22 +64,32 @@ def pagerank(nodes: DataFrame, edges: DataFrame, weight: str | None = "weight",
     link = edges.select(F.col("source").alias("id"), "target", w.alias("w")).where("w > 0")
     out = link.groupBy("id").agg(F.sum("w").alias("total"))
     share = cut(link.join(out, "id").select("id", "target", (F.col("w") / F.col("total")).alias("share")))
-    ids = cut(nodes.select("id").join(out.select("id", F.lit(True).alias("links")), "id", "left"))
+    ids = cut(nodes.select("id"))
+    loose = cut(ids.join(share.select("id"), "id", "left_anti"))
     n = ids.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("page_rank"))
-    rank = ids.select("id", "links", F.lit(1.0 / n).alias("r"))
+    if share.count() <= BROADCAST_EDGES:
+        share = F.broadcast(share)
+    ends = loose.count()
+    if 0 < ends <= BROADCAST_EDGES:
+        loose = F.broadcast(loose)
+    rank = ids.select("id", F.lit(1.0 / n).alias("r"))
     for k in range(1, iterations + 1):
-        given = rank.join(share, "id").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
-        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("links").isNull(), F.col("r"))), F.lit(0.0)).alias("loose"))
-        new = (1 - alpha) / n + alpha * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / n)
-        rank = rank.join(given, "id", "left").crossJoin(F.broadcast(loose)).select("id", "links", new.alias("new"), "r")
+        # a node's old rank travels with what it is given, so a round is one aggregation
+        given = rank.join(share, "id").select(F.col("target").alias("id"), (F.col("r") * F.col("share")).alias("x"), F.lit(0.0).alias("old"))
+        total = given.union(rank.select("id", F.lit(0.0), "r")).groupBy("id").agg(F.sum("x").alias("x"), F.sum("old").alias("old"))
+        spread = F.lit(0.0)
+        if ends:
+            rest = rank.join(loose, "id", "left_semi").agg(F.sum("r").alias("rest"))
+            total, spread = total.crossJoin(F.broadcast(rest)), F.col("rest") / n
+        rank = total.select("id", ((1 - alpha) / n + alpha * (F.col("x") + spread)).alias("r"), "old")
         if k % every == 0 or k == iterations:
             rank = cut(rank)
-            if tolerance and rank.agg(F.sum(F.abs(F.col("new") - F.col("r")))).first()[0] < n * tolerance:
+            if tolerance and rank.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] < n * tolerance:
                 break
-        rank = rank.select("id", "links", F.col("new").alias("r"))
-    return rank.select("id", F.coalesce(*[F.col(c) for c in ("new", "r") if c in rank.columns]).alias("page_rank"))
+        rank = rank.select("id", "r")
+    return rank.select("id", F.col("r").alias("page_rank"))
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) -> DataFrame:

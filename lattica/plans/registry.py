@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_up, name_tokens
-from ..operators import calls, cycles, iterate, metrics, search
+from ..operators import calls, iterate, metrics, search
 from ..sources import bindings as b
 from . import queries as q
 from .graph import CodeGraph
