@@ -60,6 +60,8 @@ def _slide(x: np.ndarray, width: int, fold) -> np.ndarray:
     out, k = x.copy(), 1
     while k < width:
         step = min(k, width - k)
+        if step >= len(out):
+            break
         out[: len(out) - step] = fold(out[: len(out) - step], out[step:])
         k += step
     return out
