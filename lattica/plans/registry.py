@@ -26,6 +26,8 @@ prs AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM lineitem J
     JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
 e AS (SELECT x.path AS source, y.path AS target, n AS weight, x.module AS a, y.module AS b, NULL::VARCHAR AS symbols
     FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rn FROM prs) JOIN f x ON a = x.ord JOIN f y ON b = y.ord WHERE rn <= 2)"""
+#: All pairs of nations that trade.
+_TRADE_ALL = _TRADE.replace(" WHERE rn <= 2", "")
 _PARTS = """
 f AS (SELECT p_partkey AS ord, p_brand || '/' || p_type || '/part_' || p_partkey || CASE WHEN p_size = 1 THEN '.spec' ELSE '' END AS path,
     p_brand || '/' || p_type || '/' AS module, p_size::BIGINT AS loc, p_size = 1 AS is_test, coalesce(churn, 0) AS churn, (1 + p_size % 5)::DOUBLE AS complexity
@@ -111,6 +113,10 @@ def _trade(spark: SparkSession, sf_dir: str) -> q.Analysis:
     return q.Analysis(b.trade(spark, sf_dir).pinned(), rank_tolerance=0.0, rank_rounds=ROUNDS)
 
 
+def _trade_all(spark: SparkSession, sf_dir: str) -> q.Analysis:
+    return q.Analysis(b.trade(spark, sf_dir, None).pinned(), rank_tolerance=0.0, rank_rounds=ROUNDS)
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> q.Analysis:
     return q.Analysis(b.parts(spark, sf_dir), rank_tolerance=0.0, rank_rounds=ROUNDS)
 
@@ -247,6 +253,44 @@ def _(spark, sf_dir):
     return q.groups(_trade(spark, sf_dir))
 
 
+# over all pairs of the trade graph
+
+@_register("file_degrees_all_trade", f"WITH {_TRADE_ALL}, {_DEGREES} SELECT path, fan_in, fan_out, {_six('coupling')} AS coupling FROM d")
+def _(spark, sf_dir):
+    g = b.trade(spark, sf_dir, None)
+    return metrics.degrees(g.files, g.edges).withColumn("coupling", half_up(F.col("coupling"), 6))
+
+
+@_register("pagerank_20_all_trade", f"WITH RECURSIVE {_TRADE_ALL}, {_RANK} SELECT path AS id, {_six('page_rank')} AS page_rank FROM rk")
+def _(spark, sf_dir):
+    return _trade_all(spark, sf_dir).page_rank.select(F.col("path").alias("id"), half_up(F.col("page_rank"), 6).alias("page_rank"))
+
+
+@_register("betweenness_all_trade", f"WITH RECURSIVE {_TRADE_ALL}, {_PATHS} SELECT path AS id, {_six('betweenness')} AS betweenness FROM bt")
+def _(spark, sf_dir):
+    return _trade_all(spark, sf_dir).betweenness.select(F.col("path").alias("id"), half_up(F.col("betweenness"), 6).alias("betweenness"))
+
+
+@_register("blast_radius_all_trade", f"WITH RECURSIVE {_TRADE_ALL}, {_CLOSURE} SELECT path, count(source) AS blast_radius FROM f LEFT JOIN cl ON target = path GROUP BY path")
+def _(spark, sf_dir):
+    return _trade_all(spark, sf_dir).blast_radius
+
+
+@_register("cycle_members_all_trade", f"WITH RECURSIVE {_TRADE_ALL}, {_CLOSURE} SELECT source AS path FROM cl WHERE source = target")
+def _(spark, sf_dir):
+    return iterate.reach(_trade_all(spark, sf_dir).graph.edges).where("origin = node").select(F.col("origin").alias("path"))
+
+
+@_register("circular_deps_all_trade")
+def _(spark, sf_dir):
+    return _trade_all(spark, sf_dir).cycles
+
+
+@_register("communities_all_trade")
+def _(spark, sf_dir):
+    return q.clusters(_trade_all(spark, sf_dir))
+
+
 @_register("cohesion_verdicts", f"WITH {_PARTS}, {_MODULES} SELECT module AS path, cohesion, CASE WHEN plain <= 1 THEN 'LEAF' WHEN cohesion >= 0.6 THEN 'COHESIVE' WHEN cohesion >= 0.6 * 0.67 THEN 'MODERATE' ELSE 'JUNK_DRAWER' END AS verdict, files FROM mm")
 def _(spark, sf_dir):
     g = b.parts(spark, sf_dir)

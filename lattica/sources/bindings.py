@@ -2,7 +2,7 @@
 
 =========  ==============================================================
 trade      nations as files, regions as modules, an edge to each of the two
-           nations that a nation's customers buy from most
+           nations that a nation's customers buy from most, or to all
 parts      parts as files of brand/type modules; a returned line imports the
            line before it in its order, by supplier
 supply     suppliers as files, shipped parts as exports, returned ones consumed
@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trade(spark: SparkSession, sf_dir: str) -> CodeGraph:
+def trade(spark: SparkSession, sf_dir: str, most: int | None = 2) -> CodeGraph:
+    """``most``: partners kept of each nation, None for all."""
     t = lambda name: table(spark, sf_dir, name)
     nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     people = t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("loc"))
@@ -36,7 +37,7 @@ def trade(spark: SparkSession, sf_dir: str) -> CodeGraph:
     buyers = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(t("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("a")), "c_custkey")
     pairs = lines.join(buyers, "l_orderkey").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))
-    top = pairs.withColumn("n", best).where("n <= 2")
+    top = pairs if most is None else pairs.withColumn("n", best).where(F.col("n") <= most)
     of = files.select("path", "ord")
     edges = top.join(of.toDF("source", "a"), "a").join(of.toDF("target", "b"), "b").select("source", "target", F.array().cast("array<string>").alias("symbols"), F.lit(False).alias("is_type_only"), "weight", (F.col("a") * 1000 + F.col("b")).alias("ord"))
     none = build_graph(empty(spark, "files"), empty(spark, "exports"), empty(spark, "imports"), empty(spark, "call_sites"))
