@@ -1,19 +1,28 @@
 """Secret scans: novelty of candidates under a dictionary-primed zstandard.
 
-A candidate is a run of ``MIN_CHARS`` or more of letters, digits, ``+/_-`` that a
-sensitive name (key, token, password ...) introduces. Its novelty is the number
-of bytes it adds to the compressed size of the text around it, over its length;
-the compressor is primed with a dictionary of the identifiers that recur in the
-corpus and of names common in code. Placeholders, words, paths and repeated
-patterns compress away; what stays incompressible is reported: with a novelty of
-``NOVELTY``, or ``WORDY_NOVELTY`` where a candidate has no digit.
-
-Identifiers are letters-only words (parts joined by ``_`` or ``-``), counted over
-all documents; a dictionary's size is a parameter, as the compressor's window is.
-
-Defined results: null and empty texts report nothing; a document reports every
-occurrence, in any number; rows that repeat a doc_id report each. Offsets count
-characters from 0. Columns besides doc_id and text aren't read.
+A candidate is a run of ``MIN_CHARS`` or more printable ASCII characters without
+white space, quotes, brackets, commas and semicolons; a name with ``=`` or ``:``
+at its front belongs to what stands before it. Its context is sensitive where it
+is the first candidate after a sensitive name (token, password, api key ...) on
+a line, at any distance, with no end of a sentence between, or goes on the list
+that the first one begins, or lies in the body of a private key block. Its novelty is the number of bytes that it adds to the compressed size of
+the text around it, over its length; the compressor is primed with a dictionary
+of the identifiers that recur in the corpus and of names common in code.
+Placeholders, words, paths and repeated patterns compress away; what stays
+incompressible is reported: with a novelty of ``NOVELTY``, or ``WORDY_NOVELTY``
+where a candidate has no digit.
+
+Identifiers are runs of letters, ``_`` and ``-``, counted over all documents.
+Those of under ``IDENTIFIER`` letters are no help to the compressor, whose
+shortest match is as long. A dictionary's size is a parameter, as the
+compressor's window is: ``AROUND`` bytes to either side, within the text.
+
+Defined results: ``doc_id`` is a column of integers. Null and empty texts report
+nothing; a document reports every occurrence, in any number and at any length of
+the text; rows that repeat a doc_id report each, and equal texts report alike. A
+tie with the threshold is reported. Offsets count characters from 0. Results
+don't depend on how rows are partitioned. Columns besides doc_id and text aren't
+read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -24,23 +33,27 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import WordHasher, chunks, table
 
 MIN_CHARS, NOVELTY, WORDY_NOVELTY, DICTIONARY, MIN_DOCS = 16, 0.45, 0.65, 1 << 15, 5
-BEFORE, AFTER, IDENTIFIER = 256, 128, 12
+AROUND, IDENTIFIER = 2048, 4
 _NAMES = (
     "public private protected static function return import export const string number boolean null undefined true false "
     "api_key apikey access_token auth_token client_secret secret_key private_key password passwd username authorization bearer "
     "example placeholder your_api_key_here changeme dummy sample test config settings environment process.env os.environ "
     "http https localhost example.com 0123456789 1234567890123456 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ xxxxxxxxxxxxxxxx 0000000000000000"
 )
-_SENSITIVE = re.compile(
-    rb"(?:^|[^a-z]|api|access|secret|private|auth|client|account|session|master|service)"
-    rb"(key|token|secret|passwd|password|passphrase|pwd|credentials?|bearer|authorization|signature)s?"
-    rb"[\"'`\])]*\s*(?:=>|[:=]|\bis\b)*[\s\"'`(\[]+$|"
-    rb"(?:key|token|secret|passwd|password|passphrase|pwd|credentials?|signature)[\"']?[:=]$",
-    re.IGNORECASE,
-)
+#: Names that are sensitive by themselves, within any longer word or as a part of one, and the one that needs company.
+_ALONE, _WITHIN, _KEY = (b"token", b"secret", b"pwd", b"credential", b"bearer", b"authorization", b"signature"), (b"password", b"passwd", b"passphrase"), b"key"
+#: A part of a word begins after what isn't a letter, at a capital, or after one of these.
+_BEFORE = re.compile(rb"(?:^|[^A-Za-z]|(?i:api|access|auth|client|session|refresh|bot|user|db|app))\Z")
+#: It doesn't go on as in tokenizer or TOKENIZER.
+_AFTER = re.compile(rb"(?:(?<=[A-Z])S|s)?(?![a-z])(?!(?<=[A-Z])[A-Z])")
+_COMPANY = re.compile(rb"(?i:api|access|secret|private|auth|client|account|session|master|service|signing|encryption|ssh)[_\-. ]?\Z")
+_VALUED = re.compile(rb"s?[\"'`\])]*[ \t]*(?:=>|[:=])")
+_APART = re.compile(rb"[ \t\"'`,;()\[\]{}<>]*")
+_BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
+_PREFIX = re.compile(rb"(?:[A-Za-z_$][\w.$-]*+(?:=>|:=|[:=])++)+")
 
 
 def _runs(raw: np.ndarray, inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,26 +70,35 @@ def _class(pattern: bytes) -> np.ndarray:
     return out
 
 
-_CANDIDATE, _LETTERS = _class(rb"[A-Za-z0-9+/_\-]"), _class(rb"[A-Za-z_\-]")
+_CANDIDATE, _LETTERS = _class(rb"[!-~](?<![\"'`()\[\]{}<>,;])"), _class(rb"[A-Za-z_\-]")
 
 
 def _identifiers(batches):
     import pyarrow as pa
 
+    hasher = WordHasher(drop_punctuation=False)
+    hasher.fold[~_LETTERS] = 0
     for batch in batches:
         for _, _, raw, offsets in chunks(batch):
-            a, b = _runs(raw, _LETTERS, IDENTIFIER)
-            data = raw.tobytes()
+            h, a, b = hasher(raw)
+            long = b - a >= IDENTIFIER
+            h, a, b = h[long], a[long], b[long]
             doc = np.searchsorted(offsets, a, "right")
-            seen = {(d, data[i:j]) for d, i, j in zip(doc.tolist(), a.tolist(), b.tolist())}
-            words, n = np.unique(np.array([w for _, w in seen], dtype=object), return_counts=True) if seen else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("ascii") for w in words], pa.string()), pa.array(np.asarray(n, np.int64))], ["word", "n"])
+            order = np.lexsort((doc, h))
+            h, doc, a, b = h[order], doc[order], a[order], b[order]
+            fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
+            h, a, b = h[fresh], a[fresh], b[fresh]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            data = raw.tobytes()
+            words = [data[i:j].decode("ascii") for i, j in zip(a[first].tolist(), b[first].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.diff(np.append(first, len(h))).astype(np.int64))], ["word", "n"])
 
 
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY, min_docs: int = MIN_DOCS) -> bytes:
-    """The identifiers of most documents, the commonest last, after names common in code."""
+    """Names common in code, then the identifiers that fill most bytes of the corpus (once a document), the first of them last."""
     words = docs.where("text IS NOT NULL").select("text").mapInArrow(_identifiers, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-    top = words.orderBy(F.desc("n"), "word").limit(size // IDENTIFIER).collect()  # as many as the dictionary can hold
+    # no more than these can fit: each takes IDENTIFIER bytes and a space at least
+    top = words.orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(size // (IDENTIFIER + 1)).collect()
     kept, used = [], 0
     for r in top:
         used += len(r["word"]) + 1
@@ -105,24 +127,64 @@ class Novelty:
         return sorted(size(x + candidate) - size(x) for x in (before + after, before, after))[1]
 
 
+def names(data: bytes) -> list[tuple[int, str]]:
+    """(end, name) of the sensitive names, in order."""
+    low, out = data.lower(), []
+    for core in (*_ALONE, *_WITHIN, _KEY):
+        at = low.find(core)
+        while at >= 0:
+            end = at + len(core)
+            left = data[max(0, at - 12) : at]
+            begins = core in _WITHIN or bool(_BEFORE.search(left)) or left[-1:].islower() and data[at : at + 1].isupper()
+            if core == _KEY:
+                fits = _COMPANY.search(left) and _AFTER.match(data, end) or begins and _VALUED.match(data, end)
+            else:
+                fits = begins and _AFTER.match(data, end)
+            if fits:
+                out.append((end, core.decode()))
+            at = low.find(core, end)
+    return sorted(out)
+
+
 def find(raw: np.ndarray, offsets: np.ndarray, novelty: Novelty, min_chars: int, least: float) -> list[tuple[int, int, int, str, int, float]]:
-    """(text, first character, length, sensitive name, marginal bytes, novelty) of the secrets."""
+    """(text, first character, length, sensitive name, marginal bytes, novelty) of the secrets; every text ends with a line feed."""
     a, b = _runs(raw, _CANDIDATE, min_chars)
-    out, data = [], None
+    if not len(a):
+        return []
+    data = raw.tobytes()
+    named = names(data)
+    blocks = []
+    for m in _BLOCK.finditer(data):
+        stop = int(offsets[np.searchsorted(offsets, m.start(), "right")])
+        ends = [e for e in (data.find(b"-----END", m.end(), stop), data.find(b"\n\n", m.end(), stop)) if e >= 0]
+        blocks.append((m.end(), min(ends, default=stop)))
+    if not named and not blocks:
+        return []
+    name_ends, block_starts = (np.array([x for x, _ in y], np.int64) for y in (named, blocks))
+    # a line's or a sentence's end parts names from candidates
+    stops = ((raw == 46) | (raw == 33) | (raw == 63)) & np.append((raw[1:] == 32) | (raw[1:] == 9), False) | (raw == 10)
+    parted = np.concatenate([[0], np.cumsum(stops)])
+    characters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    out, used, told = [], -1, -1  # the last name with a candidate, where its candidates end
     for i, j in zip(a.tolist(), b.tolist()):
-        if data is None:
-            data = raw.tobytes()
-        named = _SENSITIVE.search(data[max(0, i - 64) : i])
-        if not named:
-            continue
+        cut = _PREFIX.match(data, i, j)
+        if cut and j - cut.end() >= min_chars:
+            i = cut.end()
+        while j - i > min_chars and data[j - 1] in b".:":
+            j -= 1
+        k = int(np.searchsorted(block_starts, i, "right")) - 1
+        name = "privatekey" if k >= 0 and i < blocks[k][1] else None
+        if name is None:
+            k = int(np.searchsorted(name_ends, i, "right")) - 1
+            if k < 0 or parted[i] > parted[named[k][0]] or k == used and not _APART.fullmatch(data, told, i):
+                continue
+            used, told, name = k, j, named[k][1]
         d = int(np.searchsorted(offsets, i, "right")) - 1
-        lo, hi = int(offsets[d]), int(offsets[d + 1])
-        added = novelty(data[i:j], data[max(lo, i - BEFORE) : i], data[j : min(hi, j + AFTER)])
+        lo, hi = int(offsets[d]), int(offsets[d + 1]) - 1
+        added = novelty(data[i:j], data[max(lo, i - AROUND) : i], data[j : min(hi, j + AROUND)])
         wordy = not any(48 <= c < 58 for c in data[i:j])
         if added >= (max(least, WORDY_NOVELTY) if wordy else least) * (j - i):
-            first = int(np.count_nonzero((raw[lo:i] & 0xC0) != 0x80))
-            name = re.sub(rb"[^a-z]", b"", (named.group(1) or named.group(0)).lower()).decode()
-            out.append((d, first, j - i, name, added, round(added / (j - i), 4)))
+            out.append((d, int(characters[i] - characters[lo]), j - i, name, added, round(added / (j - i), 4)))
     return out
 
 
