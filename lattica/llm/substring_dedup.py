@@ -3,19 +3,29 @@
 Seeds are winnowed hashes of ``ANCHOR`` words, dense enough for every passage
 of ``min_words`` words to hold one. Anchors that two documents share are joined
 back, and around each the passage is extended to both sides in one step for all
-its documents: the windows of ``min_words`` words over the anchor are keyed by
-hash, with the word before and the word after. A key of two documents or more
-is a repeat. Sets of occurrences begin at keys whose words before differ, and go
-on as parts where words after differ; a set's repeat reaches back and on to the
-nearest keys that part its occurrences.
-
-The work grows with the number of occurrences, never with their pairs: a
-passage in a million documents is one row with a list.
-
-Defined results: words are separated by white space and compare by their bytes.
-Rows with null doc_id or text take no part; rows with one doc_id are one
-document, and repeats within a document alone don't count. Columns besides
-doc_id and text aren't read.
+its documents: the windows of ``min_words`` words whose least anchor is shared
+are keyed by hash, with the word before and the word after. A key of two
+documents or more is a repeat. Sets of occurrences are those of a key whose
+words before differ, and, where the words after a key differ, those that go on
+with one word; a set's repeat reaches back and on to the nearest keys that part
+its occurrences. So each repeat is maximal, and every repeated window lies in
+one; what only some of a set's documents share on both sides of it is covered by
+the sets of either side, and isn't one more row.
+
+The work grows with the number of occurrences, never with their pairs. A window
+occurs no more often than its least anchor, so the windows of anchors of up to
+``HOT`` occurrences meet in one task a key; those of others are aggregated
+before they move.
+
+Words are compared by hash: windows by 64 bits, the words beside them by 32.
+
+Defined results: ``doc_id`` is a column of integers. Words are separated by
+white space and compare by their bytes. Rows with null doc_id or text take no
+part, nor do texts of fewer than ``min_words`` words; texts of any length are
+read whole. Rows with one doc_id are one document: repeats within it alone don't
+count, equal rows count once, and different texts of it keep their own word
+positions. Empty tables give empty results. Columns besides doc_id and text
+aren't read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -25,9 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .common import WordHasher, chunks, mix64, table
+from .common import WordHasher, bounded, chunks, mix64, table
 
 MIN_WORDS, ANCHOR = 50, 25
+#: Occurrences of an anchor whose windows meet in one task a key.
+HOT = 1 << 20
+#: Hashes of anchors leave these bits to how often the anchor occurs.
+_STATE = np.uint64(3)
 _M = np.uint64(0xD6E8FEB86659FD93)
 _M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
 
@@ -92,10 +106,11 @@ def _anchors(min_words: int, anchor: int):
                 owner = doc[: len(grams)]
                 stop = first[owner + 1]
                 inside = (place + anchor <= stop) & (stop - first[owner] >= min_words)
-                grams = np.where(inside, grams, np.uint64(0xFFFFFFFFFFFFFFFF))
+                grams = np.where(inside, grams & ~_STATE, np.uint64(0xFFFFFFFFFFFFFFFF))
                 hit = np.flatnonzero(winnow(grams, min_words - anchor + 1) & inside)
                 ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(owner[hit]))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[hit].view(np.int64)), ids, pa.array((hit - first[owner[hit]]).astype(np.int32))], ["anchor", "doc_id", "pos"])
+                tag = np.asarray(batch.column("tag").slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array(grams[hit].view(np.int64)), ids, pa.array(hit - first[owner[hit]] + tag[owner[hit]])], ["anchor", "doc_id", "pos"])
 
     return run
 
@@ -107,28 +122,32 @@ def _windows(min_words: int, anchor: int):
         hasher, rolling = WordHasher(drop_punctuation=False), _Rolling()
         for batch in batches:
             seeds = batch.column("seeds")
-            flat, seed_at = np.asarray(seeds.flatten()), np.concatenate([[0], np.cumsum(np.asarray(seeds.value_lengths()))])
+            flat, seed_at = seeds.flatten(), np.concatenate([[0], np.cumsum(np.asarray(seeds.value_lengths()))])
+            flat_pos, flat_hot = np.asarray(flat.field("pos")), flat.field("hot").to_numpy(zero_copy_only=False)
+            tags = np.asarray(batch.column("tag"))
             for lo, hi, raw, offsets in chunks(batch):
                 words, doc, first = _words(hasher, raw, offsets)
-                (keys,) = rolling(words, [min_words])
+                grams, keys = rolling(words, [anchor, min_words])
                 if not len(keys):
                     continue
-                # windows that hold a seed: starts from pos + anchor - min_words to pos
                 owner = np.repeat(np.arange(hi - lo), np.diff(seed_at[lo : hi + 1]))
-                pos = flat[seed_at[lo] : seed_at[hi]]
-                a = first[owner] + np.maximum(pos + anchor - min_words, 0)
-                b = first[owner] + np.minimum(pos, first[owner + 1] - first[owner] - min_words)
-                ok = b >= a
-                mark = np.zeros(len(words) + 2, np.int32)
-                np.add.at(mark, a[ok], 1)
-                np.add.at(mark, b[ok] + 1, -1)
-                at = np.flatnonzero(np.cumsum(mark)[: len(keys)] > 0)
+                pos, hot = flat_pos[seed_at[lo] : seed_at[hi]] - tags[lo:hi][owner], flat_hot[seed_at[lo] : seed_at[hi]]
+                # seeds of another text of the same document have another tag
+                mine = (pos >= 0) & (pos + anchor <= first[owner + 1] - first[owner])
+                at = first[owner[mine]] + pos[mine]
+                grams &= ~_STATE
+                grams[at] |= np.where(hot[mine], np.uint64(2), np.uint64(1))
+                # the least anchor of a window is that of all its occurrences, and is a seed if one document more has it
+                state = (_slide(grams, min_words - anchor + 1, np.minimum)[: len(keys)] & _STATE).astype(np.int8)
+                at = np.flatnonzero((state > 0) & (np.arange(len(keys)) + min_words <= first[doc[: len(keys)] + 1]))
                 d = doc[at]
-                side = ((words >> np.uint64(40)) | np.uint64(1)).astype(np.int64)  # 0: no word there
-                before = np.where(at > first[d], side[at - 1], 0)
-                after = np.where(at + min_words < first[d + 1], side[np.minimum(at + min_words, len(words) - 1)], 0)
+                side = words >> np.uint64(32) | np.uint64(1)  # 0: no word there
+                before = np.where(at > first[d], side[at - 1], np.uint64(0))
+                after = np.where(at + min_words < first[d + 1], side[np.minimum(at + min_words, len(words) - 1)], np.uint64(0))
                 ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(d))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), ids, pa.array((at - first[d]).astype(np.int32)), pa.array(before << 24 | after)], ["key", "doc_id", "pos", "sides"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[at].view(np.int64)), ids, pa.array(at - first[d] + tags[lo:hi][d]), pa.array((before << np.uint64(32) | after).view(np.int64)), pa.array(state[at] == 2)], ["key", "doc_id", "pos", "sides", "hot"]
+                )
 
     return run
 
@@ -160,7 +179,7 @@ def _boundaries(batches):
         key, doc, pos, sides = key[:stop], doc[:stop], pos[:stop], sides[:stop]
         if not len(lo):
             return rest, None
-        before, after = sides >> 24, sides & 0xFFFFFF
+        before, after = (sides.view(np.uint64) >> np.uint64(32)).view(np.int64), sides & 0xFFFFFFFF
         least, most = (lambda x: np.minimum.reduceat(x, lo)), (lambda x: np.maximum.reduceat(x, lo))
         across = least(doc) != most(doc)
         starts = across & ((least(before) != most(before)) | (least(before) == 0))
@@ -177,7 +196,7 @@ def _boundaries(batches):
         rows = pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(pos[head]), pa.array(doc[at]), pa.array(pos[at]), begins, pa.array(np.concatenate([before[a], after[b]])), pa.array(alone)], ["first_doc", "first_pos", "doc_id", "pos", "begins", "word", "alone"])
         return rest, rows
 
-    rest = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    rest = tuple(np.zeros(0, np.int64) for _ in range(4))
     for batch in batches:
         rest, rows = out(*[np.concatenate([r, np.asarray(batch.column(i))]) for i, r in enumerate(rest)], False)
         if rows is not None:
@@ -187,29 +206,55 @@ def _boundaries(batches):
         yield rows
 
 
-def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
-    """doc_ids, starts, n_words: each maximal repeat of ``min_words`` words or more across documents.
+def _hot_boundaries(windows: DataFrame) -> DataFrame:
+    """The same as ``_boundaries`` by aggregates, which are partly done before rows move."""
+    halves = windows.select("key", "doc_id", "pos", F.shiftrightunsigned("sides", 32).alias("before"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("after"))
+    differ = lambda c: (F.min(c) != F.max(c)) | (F.min(c) == 0)
+    per = halves.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("head"), (F.min("doc_id") != F.max("doc_id")).alias("across"), differ("before").alias("starts"), differ("after").alias("ends"))
+    held = halves.join(per.where("across AND (starts OR ends)"), "key")
+    ends = F.filter(F.array(F.struct("starts", F.lit(True).alias("begins"), F.col("before").alias("word")), F.struct(F.col("ends").alias("starts"), F.lit(False).alias("begins"), F.col("after").alias("word"))), lambda e: e["starts"])
+    rows = held.select("key", "head", "doc_id", "pos", F.explode(ends).alias("e")).select("key", "head", "doc_id", "pos", "e.begins", "e.word")
+    one = rows.groupBy("key", "begins", "word").agg(((F.min("doc_id") == F.max("doc_id")) | (F.col("word") == 0)).alias("alone"))
+    return rows.join(one, ["key", "begins", "word"]).select(F.col("head.doc_id").alias("first_doc"), F.col("head.pos").alias("first_pos"), "doc_id", "pos", "begins", "word", "alone")
 
-    ``doc_ids`` and ``starts`` list its occurrences (first word, from 0) side by side.
+
+def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+    """repeat_id, doc_id, start, n_words: each occurrence of each maximal repeat of ``min_words`` words or more across documents.
+
+    ``start`` is its first word, from 0. ``repeat_id`` names a repeat by its
+    first occurrence (doc_id, start) and length.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    anchors = texts.mapInArrow(_anchors(min_words, anchor), "anchor long, doc_id long, pos int")
-    by = Window.partitionBy("anchor")
-    shared = anchors.withColumn("lo", F.min("doc_id").over(by)).withColumn("hi", F.max("doc_id").over(by)).where("lo < hi")
-    seeds = shared.groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
-    windows = texts.join(seeds, "doc_id").mapInArrow(_windows(min_words, anchor), "key long, doc_id long, pos int, sides long")
-    bounds = cut(
-        windows.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(_boundaries, "first_doc long, first_pos int, doc_id long, pos int, begins boolean, word long, alone boolean")
-    )
+    # different texts of one document lie apart in its positions
+    twice = cut(texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("many")))
+    if twice.isEmpty():
+        texts = texts.withColumn("tag", F.lit(0).cast("long"))
+    else:
+        tag = F.when(F.col("many"), F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 34), 32)).otherwise(F.lit(0))
+        texts = texts.join(bounded(twice), "doc_id", "left").select("doc_id", "text", tag.cast("long").alias("tag"))
+    anchors = texts.mapInArrow(_anchors(min_words, anchor), "anchor long, doc_id long, pos long")
+    # counted by partial sums and joined back, so that no task holds an anchor's occurrences as a whole
+    counted = cut(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("anchor", (F.col("n") > hot).alias("hot")))
+    seeds = anchors.join(counted, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "hot")).alias("seeds"))
+    windows = texts.join(seeds, "doc_id").mapInArrow(_windows(min_words, anchor), "key long, doc_id long, pos long, sides long, hot boolean")
+    few = windows.where("NOT hot").drop("hot").repartition("key").sortWithinPartitions("key", "doc_id", "pos")
+    bounds = few.mapInArrow(_boundaries, "first_doc long, first_pos long, doc_id long, pos long, begins boolean, word long, alone boolean")
+    if not counted.where("hot").isEmpty():
+        bounds = bounds.unionByName(_hot_boundaries(windows.where("hot")))
+    bounds = cut(bounds.distinct())
     # a set of occurrences begins where words before differ, or goes on where others leave it
-    parts = bounds.where("NOT begins AND NOT alone").groupBy("first_doc", "first_pos", "word").agg(F.collect_list(F.struct("doc_id", "pos")).alias("o"))
     sets = bounds.where("begins").select("first_doc", "first_pos", F.lit(0).cast("long").alias("part"), "doc_id", "pos").unionByName(
-        parts.select("first_doc", "first_pos", F.col("word").alias("part"), F.explode("o").alias("o")).select("first_doc", "first_pos", "part", "o.*")
+        bounds.where("NOT begins AND NOT alone").select("first_doc", "first_pos", F.col("word").alias("part"), "doc_id", "pos")
     )
-    lists = sets.groupBy(*_SET).agg(F.sort_array(F.collect_list(F.struct("doc_id", "pos"))).alias("at"))
+    heads = sets.groupBy(*_SET).agg(F.min(F.struct("doc_id", "pos")).alias("head"))
     left, right = _reach(sets, bounds.where("begins"), -1), _reach(sets, bounds.where("NOT begins"), 1)
-    whole = lists.join(left.withColumnRenamed("d", "l"), _SET).join(right.withColumnRenamed("d", "r"), _SET)
-    return whole.select(F.col("at.doc_id").alias("doc_ids"), F.transform("at.pos", lambda p: p - F.col("l")).alias("starts"), (F.col("l") + F.col("r") + min_words).alias("n_words")).distinct()
+    whole = heads.join(left.withColumnRenamed("d", "l"), _SET).join(right.withColumnRenamed("d", "r"), _SET)
+    named = whole.select(F.col("head.doc_id").alias("d"), (F.col("head.pos") - F.col("l")).alias("p"), (F.col("l") + F.col("r") + min_words).cast("int").alias("n_words"), F.struct(*_SET, "l").alias("set"))
+    # sets that reach over each other are one repeat, which one of them stands for
+    once = named.groupBy("d", "p", "n_words").agg(F.min("set").alias("set"))
+    word = lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    repeats = once.select("set.*", "n_words", F.concat_ws(":", "d", word(F.col("p")), "n_words").alias("repeat_id"))
+    return repeats.join(sets, _SET).select("repeat_id", "doc_id", word(F.col("pos") - F.col("l")).alias("start"), "n_words")
 
 
 _SET = ["first_doc", "first_pos", "part"]
@@ -224,7 +269,7 @@ def _reach(sets: DataFrame, events: DataFrame, sign: int) -> DataFrame:
     # a part goes on past the end that made it
     own = F.when(F.col("part") != 0, 1).otherwise(0) if sign > 0 else F.lit(0)
     both = sets.select(*_SET, "doc_id", (F.col("pos") * sign + own).alias("p"), F.lit(None).cast("long").alias("word"), F.lit(False).alias("alone")).unionByName(
-        events.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(_SET, ("long", "int", "long"))], "doc_id", at, "word", "alone")
+        events.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(_SET, ("long", "long", "long"))], "doc_id", at, "word", "alone")
     )
     # from the far end on, so that the frame only grows; an event comes before a set at its place
     ahead = Window.partitionBy("doc_id").orderBy(F.desc("p"), F.col("word").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)

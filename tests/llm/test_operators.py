@@ -308,8 +308,38 @@ def brute_repeats(rows, least):
     return words, {x for v in at.values() if len({i for i, _ in v}) > 1 for x in v}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_substring_dedup(spark, seed):
+def brute_maximal(words, least):
+    """(length, occurrences) of the repeats that the docstring names: windows that begin one and windows whose words after part, grown to both sides."""
+    at = collections.defaultdict(set)
+    for i, w in words.items():
+        for p in range(len(w) - least + 1):
+            at[tuple(w[p : p + least])].add((i, p))
+    documents = lambda spots: len({i for i, _ in spots})
+    word = lambda i, p: words[i][p] if 0 <= p < len(words[i]) else None
+    parts = lambda spots, d: (lambda w: len(w) > 1 or None in w)({word(i, p + d) for i, p in spots})
+    sets = []
+    for spots in at.values():
+        if documents(spots) > 1:
+            if parts(spots, -1):
+                sets.append(spots)
+            if parts(spots, least):
+                after = collections.defaultdict(set)
+                for i, p in spots:
+                    after[word(i, p + least)].add((i, p))
+                sets += [s for w, s in after.items() if w is not None and documents(s) > 1]
+    out = set()
+    for spots in sets:
+        a, b = 0, least
+        while not parts(spots, a - 1):
+            a -= 1
+        while not parts(spots, b):
+            b += 1
+        out.add((b - a, frozenset((i, p + a) for i, p in spots)))
+    return out
+
+
+@pytest.mark.parametrize("seed, hot", [(1, substring_dedup.HOT), (2, substring_dedup.HOT), (3, 0), (1, 3)])
+def test_substring_dedup(spark, seed, hot):
     r = random.Random(seed)
     passages = [prose(r, n) for n in (49, 50, 51, 60, 90, 130)]
     rows = []
@@ -320,21 +350,31 @@ def test_substring_dedup(spark, seed):
             cut = r.randrange(0, 12)
             parts += [" ".join(p[cut:] if r.random() < 0.5 else p[: len(p) - cut]), prose(r, r.randrange(0, 4))]
         rows.append((i, "\n".join(parts), "a"))
-    rows += [(50, rows[7][1] + " tail", "a"), (51, " ".join(["of"] * 200), "a"), (None, rows[8][1], "a"), (52, None, "a"), (53, "", "a")]
+    rows += [(50, rows[7][1] + " tail", "a"), (51, " ".join(["of"] * 200), "a"), (None, rows[8][1], "a"), (52, None, "a"), (53, "", "a"), (3, rows[3][1], "a")]
     words, want = brute_repeats(rows, 50)
+    repeats, lengths = collections.defaultdict(set), {}
+    got = substring_dedup.maximal_repeats(table(spark, rows), hot=hot).collect()
+    for x in got:
+        repeats[x["repeat_id"]].add((x["doc_id"], x["start"]))
+        lengths[x["repeat_id"]] = x["n_words"]
+    assert len(got) == sum(map(len, repeats.values()))
+    assert {(lengths[k], frozenset(v)) for k, v in repeats.items()} == brute_maximal(words, 50)
     covered = set()
-    for x in substring_dedup.maximal_repeats(table(spark, rows)).collect():
-        n, spots = x["n_words"], list(zip(x["doc_ids"], x["starts"]))
-        text = words[spots[0][0]][spots[0][1] : spots[0][1] + n]
-        assert len(text) == n >= 50 and len(set(x["doc_ids"])) > 1
-        assert all(words[i][p : p + n] == text for i, p in spots)
-        # maximal: no word before or after that all occurrences share
-        assert len({words[i][p - 1] if p else (i, p) for i, p in spots}) > 1
-        assert len({words[i][p + n] if p + n < len(words[i]) else (i, p) for i, p in spots}) > 1
-        covered |= {(i, q) for i, p in spots for q in range(p, p + n - 49)}
+    for k, spots in repeats.items():
+        i, p = min(spots)
+        assert k == f"{i}:{p}:{lengths[k]}" and len({words[i][p : p + lengths[k]][0] for i, p in spots}) == 1
+        covered |= {(i, q) for i, p in spots for q in range(p, p + lengths[k] - 49)}
     assert covered == want
 
 
+def test_substring_dedup_of_texts_with_one_id(spark):
+    r = random.Random(2)
+    x, y = prose(r, 60), prose(r, 70)
+    rows = [(1, f"ab {x} cd", "a"), (1, f"{y} ef {x}", "a"), (2, f"gh {x} ij {y} kl", "a"), (3, f"{y}", "a"), (4, prose(r, 20_000), "a")]
+    got = {(z["n_words"], z["doc_id"], z["start"]) for z in substring_dedup.maximal_repeats(table(spark, rows).selectExpr("*", "1 AS tag", "2 AS seeds", "'x' AS hot")).collect()}
+    assert got == {(60, 1, 1), (60, 1, 71), (60, 2, 1), (70, 1, 0), (70, 2, 62), (70, 3, 0)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=80), st.integers(1, 12))
 def test_winnowing_marks_the_least_of_every_window(values, width):
