@@ -5,14 +5,15 @@ of ``min_words`` words to hold one. Anchors that two documents share are joined
 back, and around each the passage is extended to both sides in one step for all
 its documents: the windows of ``min_words`` words whose least anchor is shared
 are keyed by hash, with the word before and the word after. A key of two
-documents or more is a repeat. Sets of occurrences are those of a key whose
-words before differ, and, where the words after a key differ, those that go on
-with one word; a set's repeat reaches back and on to the nearest keys that part
-its occurrences. So each repeat is maximal, and every repeated window lies in
-one; what only some of a set's documents share on both sides of it is covered by
-the sets of either side, and isn't one more row.
-
-The work grows with the number of occurrences, never with their pairs. A window
+documents or more is a repeat, which goes on to a side in a document for as long
+as another one goes on with the same word. Where none does, the repeat ends in
+that document; between two ends lies a maximal repeat.
+
+So each document has its own maximal repeats: stretches of words of which every
+``min_words`` + 1 in a row (or the ``min_words``, if it has no more) stand in
+another document, and that no more words can be added to. Of a group of copies
+that were each edited apart every document has a few, so work and result grow
+with the words, and never with pairs or nested sets of documents. A window
 occurs no more often than its least anchor, so the windows of anchors of up to
 ``HOT`` occurrences meet in one task a key; those of others are aggregated
 before they move.
@@ -167,7 +168,7 @@ def _alone(group: np.ndarray, word: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _boundaries(batches):
-    """Of windows sorted by key, doc_id and pos: the occurrences of those that start a maximal repeat, and of those that end one."""
+    """Of windows sorted by key, doc_id and pos: those where a repeat of a document begins, and those where one ends; with the first occurrence of the window."""
     import pyarrow as pa
 
     def out(key, doc, pos, sides, last):
@@ -189,11 +190,11 @@ def _boundaries(batches):
             return rest, None
         group = np.repeat(np.arange(len(lo)), size)
         a, b = np.flatnonzero(np.repeat(starts, size)), np.flatnonzero(np.repeat(ends, size))
+        a, b = a[_alone(group[a], before[a], doc[a])], b[_alone(group[b], after[b], doc[b])]
         at = np.concatenate([a, b])
         head = lo[group[at]]
-        alone = np.concatenate([_alone(group[a], before[a], doc[a]), _alone(group[b], after[b], doc[b])])
         begins = pa.array(np.concatenate([np.ones(len(a), bool), np.zeros(len(b), bool)]))
-        rows = pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(pos[head]), pa.array(doc[at]), pa.array(pos[at]), begins, pa.array(np.concatenate([before[a], after[b]])), pa.array(alone)], ["first_doc", "first_pos", "doc_id", "pos", "begins", "word", "alone"])
+        rows = pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(pos[at]), begins, pa.array(doc[head]), pa.array(pos[head])], ["doc_id", "pos", "begins", "first_doc", "first_pos"])
         return rest, rows
 
     rest = tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -214,15 +215,15 @@ def _hot_boundaries(windows: DataFrame) -> DataFrame:
     held = halves.join(per.where("across AND (starts OR ends)"), "key")
     ends = F.filter(F.array(F.struct("starts", F.lit(True).alias("begins"), F.col("before").alias("word")), F.struct(F.col("ends").alias("starts"), F.lit(False).alias("begins"), F.col("after").alias("word"))), lambda e: e["starts"])
     rows = held.select("key", "head", "doc_id", "pos", F.explode(ends).alias("e")).select("key", "head", "doc_id", "pos", "e.begins", "e.word")
-    one = rows.groupBy("key", "begins", "word").agg(((F.min("doc_id") == F.max("doc_id")) | (F.col("word") == 0)).alias("alone"))
-    return rows.join(one, ["key", "begins", "word"]).select(F.col("head.doc_id").alias("first_doc"), F.col("head.pos").alias("first_pos"), "doc_id", "pos", "begins", "word", "alone")
+    one = rows.groupBy("key", "begins", "word").agg(((F.min("doc_id") == F.max("doc_id")) | (F.col("word") == 0)).alias("alone")).where("alone")
+    return rows.join(one, ["key", "begins", "word"]).select("doc_id", "pos", "begins", F.col("head.doc_id").alias("first_doc"), F.col("head.pos").alias("first_pos"))
 
 
 def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """repeat_id, doc_id, start, n_words: each occurrence of each maximal repeat of ``min_words`` words or more across documents.
+    """doc_id, start, n_words, first_doc, first_start: the maximal repeats of ``min_words`` words or more of each document.
 
-    ``start`` is its first word, from 0. ``repeat_id`` names a repeat by its
-    first occurrence (doc_id, start) and length.
+    ``start`` is a repeat's first word, from 0. ``first_doc`` and ``first_start``
+    name the least place that has its first ``min_words`` words.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     # different texts of one document lie apart in its positions
@@ -238,54 +239,14 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
     seeds = anchors.join(counted, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "hot")).alias("seeds"))
     windows = texts.join(seeds, "doc_id").mapInArrow(_windows(min_words, anchor), "key long, doc_id long, pos long, sides long, hot boolean")
     few = windows.where("NOT hot").drop("hot").repartition("key").sortWithinPartitions("key", "doc_id", "pos")
-    bounds = few.mapInArrow(_boundaries, "first_doc long, first_pos long, doc_id long, pos long, begins boolean, word long, alone boolean")
+    bounds = few.mapInArrow(_boundaries, "doc_id long, pos long, begins boolean, first_doc long, first_pos long")
     if not counted.where("hot").isEmpty():
         bounds = bounds.unionByName(_hot_boundaries(windows.where("hot")))
-    bounds = cut(bounds.distinct())
-    # a set of occurrences begins where words before differ, or goes on where others leave it
-    sets = bounds.where("begins").select("first_doc", "first_pos", F.lit(0).cast("long").alias("part"), "doc_id", "pos").unionByName(
-        bounds.where("NOT begins AND NOT alone").select("first_doc", "first_pos", F.col("word").alias("part"), "doc_id", "pos")
-    )
-    heads = sets.groupBy(*_SET).agg(F.min(F.struct("doc_id", "pos")).alias("head"))
-    left, right = _reach(sets, bounds.where("begins"), -1), _reach(sets, bounds.where("NOT begins"), 1)
-    whole = heads.join(left.withColumnRenamed("d", "l"), _SET).join(right.withColumnRenamed("d", "r"), _SET)
-    named = whole.select(F.col("head.doc_id").alias("d"), (F.col("head.pos") - F.col("l")).alias("p"), (F.col("l") + F.col("r") + min_words).cast("int").alias("n_words"), F.struct(*_SET, "l").alias("set"))
-    # sets that reach over each other are one repeat, which one of them stands for
-    once = named.groupBy("d", "p", "n_words").agg(F.min("set").alias("set"))
+    # in a document each beginning is followed by its end; rows that repeat give both twice
+    next_ = F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos", F.desc("begins")))
     word = lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    repeats = once.select("set.*", "n_words", F.concat_ws(":", "d", word(F.col("p")), "n_words").alias("repeat_id"))
-    return repeats.join(sets, _SET).select("repeat_id", "doc_id", word(F.col("pos") - F.col("l")).alias("start"), "n_words")
-
-
-_SET = ["first_doc", "first_pos", "part"]
-
-
-def _reach(sets: DataFrame, events: DataFrame, sign: int) -> DataFrame:
-    """first_doc, first_pos, part, d: how many words on (sign 1) or back (-1) the nearest event parts a set.
-
-    All occurrences of a set meet the same events until then.
-    """
-    at = (F.col("pos") * sign).alias("p")
-    # a part goes on past the end that made it
-    own = F.when(F.col("part") != 0, 1).otherwise(0) if sign > 0 else F.lit(0)
-    both = sets.select(*_SET, "doc_id", (F.col("pos") * sign + own).alias("p"), F.lit(None).cast("long").alias("word"), F.lit(False).alias("alone")).unionByName(
-        events.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(_SET, ("long", "long", "long"))], "doc_id", at, "word", "alone")
-    )
-    # from the far end on, so that the frame only grows; an event comes before a set at its place
-    ahead = Window.partitionBy("doc_id").orderBy(F.desc("p"), F.col("word").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    met = F.last(F.when(F.col("word").isNotNull(), F.struct("p", "word")), ignorenulls=True).over(ahead)
-    # a document's stretch of repeats ends at the event that leaves it alone; no set reaches further
-    stretch = F.last(F.when(F.col("alone"), F.col("p")), ignorenulls=True).over(ahead)
-    known = both.select("*", met.alias("e"), stretch.alias("stretch"))
-    next_ = known.where("word IS NULL").select(*_SET, "doc_id", "p", "stretch", (F.col("e.p") - F.col("p")).alias("d"), F.col("e.word").alias("word"))
-    one = (F.min("word") == F.max("word")) & (F.min("word") > 0)
-    first = next_.groupBy(*_SET).agg(F.min("d").alias("d"), one.alias("goes_on"), F.count(F.lit(1)).alias("of"))
-    # where all go on with one word, a later event parts them
-    open_ = next_.join(first.where("goes_on").select(*_SET, F.col("d").alias("past"), "of"), _SET).select(*_SET, "doc_id", "p", "stretch", "past", "of")
-    later = open_.join(known.where("word IS NOT NULL").select("doc_id", "stretch", F.col("p").alias("q"), "word"), ["doc_id", "stretch"]).where(F.col("q") - F.col("p") > F.col("past"))
-    parted = later.groupBy(*_SET, "of", (F.col("q") - F.col("p")).alias("d")).agg(F.count(F.lit(1)).alias("n"), one.alias("goes_on")).where("n = of AND NOT goes_on")
-    found = first.where("NOT goes_on").select(*_SET, "d").unionByName(parted.groupBy(*_SET).agg(F.min("d").alias("d")))
-    return found.select(*_SET, (F.col("d") + own).alias("d"))
+    whole = bounds.distinct().withColumn("last", next_).where("begins")
+    return whole.select("doc_id", word(F.col("pos")).alias("start"), (F.col("last") - F.col("pos") + min_words).cast("int").alias("n_words"), "first_doc", word(F.col("first_pos")).alias("first_start"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

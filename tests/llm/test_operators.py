@@ -308,33 +308,30 @@ def brute_repeats(rows, least):
     return words, {x for v in at.values() if len({i for i, _ in v}) > 1 for x in v}
 
 
-def brute_maximal(words, least):
-    """(length, occurrences) of the repeats that the docstring names: windows that begin one and windows whose words after part, grown to both sides."""
-    at = collections.defaultdict(set)
-    for i, w in words.items():
-        for p in range(len(w) - least + 1):
-            at[tuple(w[p : p + least])].add((i, p))
-    documents = lambda spots: len({i for i, _ in spots})
-    word = lambda i, p: words[i][p] if 0 <= p < len(words[i]) else None
-    parts = lambda spots, d: (lambda w: len(w) > 1 or None in w)({word(i, p + d) for i, p in spots})
-    sets = []
-    for spots in at.values():
-        if documents(spots) > 1:
-            if parts(spots, -1):
-                sets.append(spots)
-            if parts(spots, least):
-                after = collections.defaultdict(set)
-                for i, p in spots:
-                    after[word(i, p + least)].add((i, p))
-                sets += [s for w, s in after.items() if w is not None and documents(s) > 1]
+def brute_maximal(texts, least):
+    """(doc_id, start, length, first place of its first words) of the stretches whose runs of ``least`` + 1 words stand in other documents too; ``texts``: (doc_id, words)."""
+
+    def runs(k):
+        at = collections.defaultdict(set)
+        for i, w in texts:
+            for p in range(len(w) - k + 1):
+                at[tuple(w[p : p + k])].add((i, p))
+        return at
+
+    short, long = runs(least), runs(least + 1)
+    others = lambda at, w, i: any(j != i for j, _ in at.get(tuple(w), ()))
     out = set()
-    for spots in sets:
-        a, b = 0, least
-        while not parts(spots, a - 1):
-            a -= 1
-        while not parts(spots, b):
-            b += 1
-        out.add((b - a, frozenset((i, p + a) for i, p in spots)))
+    for i, w in texts:
+        p = 0
+        while p + least <= len(w):
+            if not others(short, w[p : p + least], i):
+                p += 1
+                continue
+            q = p
+            while q + least < len(w) and others(long, w[q : q + least + 1], i):
+                q += 1
+            out.add((i, p, q - p + least, *min(short[tuple(w[p : p + least])])))
+            p = q + 1
     return out
 
 
@@ -352,27 +349,26 @@ def test_substring_dedup(spark, seed, hot):
         rows.append((i, "\n".join(parts), "a"))
     rows += [(50, rows[7][1] + " tail", "a"), (51, " ".join(["of"] * 200), "a"), (None, rows[8][1], "a"), (52, None, "a"), (53, "", "a"), (3, rows[3][1], "a")]
     words, want = brute_repeats(rows, 50)
-    repeats, lengths = collections.defaultdict(set), {}
-    got = substring_dedup.maximal_repeats(table(spark, rows), hot=hot).collect()
-    for x in got:
-        repeats[x["repeat_id"]].add((x["doc_id"], x["start"]))
-        lengths[x["repeat_id"]] = x["n_words"]
-    assert len(got) == sum(map(len, repeats.values()))
-    assert {(lengths[k], frozenset(v)) for k, v in repeats.items()} == brute_maximal(words, 50)
-    covered = set()
-    for k, spots in repeats.items():
-        i, p = min(spots)
-        assert k == f"{i}:{p}:{lengths[k]}" and len({words[i][p : p + lengths[k]][0] for i, p in spots}) == 1
-        covered |= {(i, q) for i, p in spots for q in range(p, p + lengths[k] - 49)}
-    assert covered == want
+    got = list(map(tuple, substring_dedup.maximal_repeats(table(spark, rows), hot=hot).collect()))
+    assert len(got) == len(set(got)) and set(got) == brute_maximal(list(words.items()), 50)
+    assert {(i, q) for i, p, n, _, _ in got for q in range(p, p + n - 49)} == want
+
+
+def test_substring_dedup_of_edited_copies_is_linear(spark):
+    r = random.Random(6)
+    base = prose(r, 400).split()
+    rows = [(i, " ".join("edited" + str(i) if k == 60 + 5 * i else w for k, w in enumerate(base)), "a") for i in range(50)]
+    got = sorted(map(tuple, substring_dedup.maximal_repeats(table(spark, rows)).collect()))
+    assert got == sorted(brute_maximal([(i, t.split()) for i, t, _ in rows], 50)) and len(got) == 100
 
 
 def test_substring_dedup_of_texts_with_one_id(spark):
     r = random.Random(2)
     x, y = prose(r, 60), prose(r, 70)
     rows = [(1, f"ab {x} cd", "a"), (1, f"{y} ef {x}", "a"), (2, f"gh {x} ij {y} kl", "a"), (3, f"{y}", "a"), (4, prose(r, 20_000), "a")]
-    got = {(z["n_words"], z["doc_id"], z["start"]) for z in substring_dedup.maximal_repeats(table(spark, rows).selectExpr("*", "1 AS tag", "2 AS seeds", "'x' AS hot")).collect()}
-    assert got == {(60, 1, 1), (60, 1, 71), (60, 2, 1), (70, 1, 0), (70, 2, 62), (70, 3, 0)}
+    got = {tuple(z) for z in substring_dedup.maximal_repeats(table(spark, rows).selectExpr("*", "1 AS tag", "2 AS seeds", "'x' AS hot")).collect()}
+    assert {z[:3] for z in got} == {(1, 1, 60), (1, 71, 60), (2, 1, 60), (1, 0, 70), (2, 62, 70), (3, 0, 70)}
+    assert {z[:3] for z in brute_maximal([(i, t.split()) for i, t, _ in rows], 50)} == {z[:3] for z in got}
 
 
 @settings(max_examples=40, deadline=None)
@@ -482,12 +478,14 @@ def test_exact_dedup_agrees_with_sql(awkward):
 @given(st.dictionaries(st.integers(1, 12), st.integers(1, 5), min_size=1, max_size=6), st.integers(0, 120))
 def test_budget_fit_is_the_best_subset_sum(histogram, budget):
     lengths, counts = np.array(sorted(histogram)), np.array([histogram[k] for k in sorted(histogram)])
-    take = mixing.fit_counts(lengths, counts, budget)
     sums = {0}
     for k, n in histogram.items():
         sums = {s + j * k for s in sums for j in range(n + 1)}
-    assert (take >= 0).all() and (take <= counts).all()
-    assert int((take * lengths).sum()) == max(s for s in sums if s <= budget)
+    # on both sides of the window
+    for window in (1, 7, 40, mixing.KNAPSACK):
+        take = mixing.fit_counts(lengths, counts, budget, window=window)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((take * lengths).sum()) == max(s for s in sums if s <= budget)
 
 
 def test_budget_fit_beyond_the_window():
@@ -499,6 +497,17 @@ def test_budget_fit_beyond_the_window():
     assert (take <= counts).all() and int((take * lengths).sum()) == budget
 
 
+@pytest.mark.parametrize("budget", [70_000, 120_001, 200_003])
+def test_budget_fit_of_large_budgets(budget):
+    r = np.random.default_rng(1)
+    lengths = np.unique(r.integers(1, 3000, 800))
+    counts = r.integers(1, 40, len(lengths))
+    assert int((mixing.fit_counts(lengths, counts, budget) * lengths).sum()) == budget
+    # sums that no window of the usual size can prove: three documents of 1001 make all the difference
+    take = mixing.fit_counts(np.array([1000, 1001]), np.array([10**9, 3]), 5 * 10**11 + 500)
+    assert int(take @ [1000, 1001]) == 5 * 10**11 + 3
+
+
 def test_mixing_meets_the_weights(spark):
     r = random.Random(5)
     rows = [(i, prose(r, r.randrange(1, 60)), "ab c"[i % 4] if i % 4 != 2 else None) for i in range(400)]
