@@ -4,21 +4,26 @@ A fingerprint is the 64-bit xxHash of a text. Its top bits name a shard, the
 next ones the quotient, the rest the remainder. Every input partition builds a
 counting quotient filter per shard; filters of a shard merge by sorted
 remainders into exact counts. Only texts whose fingerprint counts above one
-are routed on, and their bytes are compared.
-
-Defined results: a null text is no copy of anything; empty texts are copies of
-each other. Of equal texts the row with the least doc_id stays (nulls last);
-each other row, also one that repeats a doc_id, is one row of the result.
-Columns besides doc_id and text aren't read.
+are routed on, and their bytes are compared: equal texts are counted by partial
+sums, so a group of copies of any size moves as one text a partition. Its rows
+then meet it by fingerprint, or by text as well where texts share one.
+
+Defined results: ``doc_id`` may be of any type that has an order. A null text is
+no copy of anything; empty texts are copies of each other, and very long ones
+like any other. Of equal texts the row with the least doc_id stays (a null only
+if all are null); each other row, also one that repeats a doc_id, is one row of
+the result. An empty table gives an empty result. Columns besides doc_id and
+text aren't read, so their names don't matter.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from ..functions.lineage import cut
+from .common import bounded, table
 
 _LOAD = 0.75
 
@@ -127,18 +132,27 @@ def repeated_fingerprints(fingerprints: DataFrame, shard_bits: int) -> DataFrame
     return fingerprints.mapInArrow(build, "shard int, filter binary").groupBy("shard").applyInArrow(merge, "fp long, n long")
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, kept_doc_id, copies: a row for each document that repeats the bytes of another that stays."""
-    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("fp"))
-    many = repeated_fingerprints(keyed.select("fp"), _shard_bits(docs.sparkSession))
-    same = Window.partitionBy("fp", "text")
-    ranked = (
-        keyed.join(many.select("fp"), "fp", "left_semi")
-        .withColumn("rank", F.row_number().over(same.orderBy(F.col("doc_id").asc_nulls_last())))
-        .withColumn("kept_doc_id", F.min("doc_id").over(same))
-        .withColumn("copies", F.count(F.lit(1)).over(same))
-    )
-    return ranked.where("rank > 1").select("doc_id", "kept_doc_id", "copies")
+def exact_duplicates(docs: DataFrame, fingerprint: Column | None = None) -> DataFrame:
+    """doc_id, kept_doc_id, copies: a row for each document that repeats the bytes of another that stays.
+
+    ``fingerprint`` (a long of ``text``) is another than xxHash, for tests.
+    """
+    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", "text", (F.xxhash64("text") if fingerprint is None else fingerprint).alias("fp"))
+    many = cut(repeated_fingerprints(keyed.select("fp"), _shard_bits(docs.sparkSession)).select("fp"))
+    grouped = keyed.join(bounded(many), "fp", "left_semi").groupBy("fp", "text").agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("copies"))
+    narrow = cut(grouped.select("fp", "kept_doc_id", "copies"))
+    # a fingerprint of one text stands for it; those of several, which are rare, go with their texts
+    shared = cut(narrow.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
+    alone = cut(narrow.where("copies > 1").join(bounded(shared), "fp", "left_anti"))
+    rows = keyed.select("doc_id", "fp", F.lit(None).cast("string").alias("other")).join(bounded(alone), "fp")
+    if not shared.isEmpty():
+        apart = keyed.join(bounded(shared), "fp", "left_semi")
+        rows = rows.unionByName(apart.join(grouped.where("copies > 1"), ["fp", "text"]).withColumnRenamed("text", "other"))
+    kept = F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))
+    # of rows with the doc_id that stays all but one are copies: n - 1 rows, made in two steps so that no array is long
+    ties = rows.where(kept).groupBy("fp", "other", "kept_doc_id", "copies").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    more = ties.withColumn("k", F.explode(F.expr("sequence(0, (n - 2) div 4096)"))).withColumn("k", F.explode(F.expr("sequence(1, least(4096, n - 1 - k * 4096))")))
+    return rows.where(~kept).select("doc_id", "kept_doc_id", "copies").unionByName(more.select(F.col("kept_doc_id").alias("doc_id"), "kept_doc_id", "copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

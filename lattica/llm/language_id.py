@@ -9,10 +9,13 @@ its language most of the second kind, ties going to the larger summed margin.
 Training reads at most ``PER_LANGUAGE`` labelled rows a language, those of
 least hash; that bound is the only one, and scoring covers every text.
 
-Defined results: a null or blank text, or one without a letter's byte, gets
-null family and language. Languages without an entry in ``FAMILIES`` are a
-family each. Repeated rows are scored each. Columns besides doc_id, text and
-lang aren't read.
+Defined results: ``doc_id`` is a column of integers. A null or blank text, or
+one without a letter's byte, gets null family and language; one of any length is
+read whole. Languages without an entry in ``FAMILIES`` are a family each. Ties of
+votes and margins go to the name that comes first. Repeated rows are scored
+each; rows alike in text and language train once. An empty table gives an empty
+result, and without labelled rows all are null. Columns besides doc_id, text and
+lang aren't read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -43,21 +46,27 @@ for _c in range(33, 127):
         _FOLD[_c] = 32
 
 
-def _codes(raw: np.ndarray) -> list[np.ndarray]:
-    """Bucket of the 1-, 2- and 3-byte gram that ends at each byte."""
+def _codes(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Bucket of the 1-, 2- and 3-byte gram that ends at each byte; -1 where it would reach back over its text's start."""
     x = _FOLD[raw].astype(np.uint32)
     one, two, three = x, x.copy(), x.copy()
     two[1:] += (x[:-1] << np.uint32(8)) + np.uint32(1 << 24)
     three[2:] += (x[1:-1] << np.uint32(8)) + (x[:-2] << np.uint32(16)) + np.uint32(2 << 24)
-    return [((g * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32) for g in (one, two, three)]
+    codes = [((g * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32) for g in (one, two, three)]
+    for k in (1, 2):
+        for back in range(k):
+            at = offsets[:-1] + back
+            codes[k][at[at < offsets[1:]]] = -1
+    return codes
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of relative gram frequencies for each text (the training side)."""
     out = np.zeros((len(offsets) - 1, (1 << BITS) + 1), np.float32)
+    codes = _codes(raw, offsets)
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-        for g in _codes(raw[a:b]):
-            out[i, :-1] += np.bincount(g, minlength=1 << BITS)
+        for g in codes:
+            out[i, :-1] += np.bincount(g[a:b][g[a:b] >= 0], minlength=1 << BITS)
         out[i] /= max(1, 3 * (b - a))
     out[:, -1] = _BIAS
     return out
@@ -90,7 +99,7 @@ def train(rows: list[tuple[str, str]]) -> dict:
     """The model from (text, language) rows: names, and for each pair its two sides and weights."""
     data = [(t or "").encode() + b"\n" for t, _ in rows]
     raw = np.frombuffer(b"".join(data), np.uint8)
-    x = features(raw, np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    x = features(raw, np.concatenate([[0], np.cumsum([len(d) for d in data], dtype=np.int64)]).astype(np.int64))
     lang = np.array([l for _, l in rows])
     langs = sorted(set(lang))
     families = sorted({family_of(l) for l in langs})
@@ -120,12 +129,7 @@ def predict(model: dict, raw: np.ndarray, offsets: np.ndarray) -> tuple[list, li
     n = len(offsets) - 1
     if not n or not model["languages"]:
         return [None] * n, [None] * n
-    codes = _codes(raw)
-    # grams that reach back into the text before count for neither
-    for k in (1, 2):
-        for back in range(k):
-            at = offsets[:-1] + back
-            codes[k][at[at < len(raw)]] = -1
+    codes = _codes(raw, offsets)
     has = np.add.reduceat((_FOLD[raw] != 32).astype(np.int64), offsets[:-1]) > 0
     length = np.maximum(1, 3 * np.diff(offsets))
     margins = []

@@ -13,11 +13,14 @@ side by side, and only the roots (256 x 255 numbers) meet on the driver. The
 finished table is broadcast while it has at most ``BROADCAST_GRAMS`` entries,
 and joined to the documents' gram counts beyond that.
 
-Defined results: a null or empty text has no bytes and a null score. Contexts
+Defined results: ``doc_id`` is a column of integers. A null or empty text has no
+bytes and a null score; one of any length is read whole. Contexts
 reach back over the start of a text as zero bytes. With a ``reference`` other
 than the documents themselves, a gram the reference lacks costs what its
 longest known suffix costs, and eight bits if none is known. Rows are scored
-each, also those that repeat a doc_id. Columns besides doc_id and text aren't read.
+each, also those that repeat a doc_id, and equal texts score alike. An empty
+table gives an empty result. Columns besides doc_id and text aren't read, so
+their names don't matter.
 """
 
 from __future__ import annotations

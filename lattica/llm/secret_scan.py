@@ -33,6 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .common import WordHasher, chunks, table
 
 MIN_CHARS, NOVELTY, WORDY_NOVELTY, DICTIONARY, MIN_DOCS = 16, 0.45, 0.65, 1 << 15, 5
@@ -97,8 +98,15 @@ def _identifiers(batches):
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY, min_docs: int = MIN_DOCS) -> bytes:
     """Names common in code, then the identifiers that fill most bytes of the corpus (once a document), the first of them last."""
     words = docs.where("text IS NOT NULL").select("text").mapInArrow(_identifiers, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-    # no more than these can fit: each takes IDENTIFIER bytes and a space at least
-    top = words.orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(size // (IDENTIFIER + 1)).collect()
+    filled = F.col("n") * F.length("word")
+    words = cut(words.select("word", filled.alias("filled"), F.floor(F.log2(filled) * 16).cast("int").alias("class")))
+    # no more than these can fit: each takes IDENTIFIER bytes and a space at least; a histogram of at most a thousand classes tells from which class on they are
+    most, least, found = size // (IDENTIFIER + 1), None, 0
+    for r in words.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("class")).collect():
+        least, found = r["class"], found + r["n"]
+        if found >= most:
+            break
+    top = words.where(F.col("class") >= (least or 0)).orderBy(F.desc("filled"), "word").limit(most).collect()
     kept, used = [], 0
     for r in top:
         used += len(r["word"]) + 1

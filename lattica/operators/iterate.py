@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from . import blocks
 
 #: Rounds after which what was reached becomes one table again.
 EVERY = 8
@@ -50,16 +51,31 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def blast_radius(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """path, blast_radius: how many files depend on each, directly or not; itself too, if it is on a cycle."""
+    graph = blocks.arrays(nodes.select(F.col("path").alias("id")), reversed_edges(edges))
+    if graph is not None:
+        return blocks.reach_counts(nodes.sparkSession, graph).select(F.col("id").alias("path"), F.col("n").alias("blast_radius"))
     counted = reach(reversed_edges(edges)).groupBy(F.col("origin").alias("path")).agg(F.count(F.lit(1)).alias("blast_radius"))
     return nodes.select("path").join(counted, "path", "left").na.fill(0, ["blast_radius"])
 
 
+def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """path of the files that lie on a cycle."""
+    graph = blocks.arrays(nodes.select(F.col("path").alias("id")), edges)
+    if graph is not None:
+        return blocks.reach_counts(nodes.sparkSession, graph).where("cyclic").select(F.col("id").alias("path"))
+    return reach(edges).where("origin = node").select(F.col("origin").alias("path"))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, weight: str | None = "weight", alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
     """id, page_rank; ``nodes`` has id. Nodes without out-edges spread their rank over all.
 
     Ends when the summed change of a round is under nodes x ``tolerance`` (never,
     with tolerance 0), or after ``iterations`` rounds.
     """
+    valued = edges.where(F.col(weight) > 0) if weight else edges
+    graph = blocks.arrays(nodes, valued, weight)
+    if graph is not None:
+        return blocks.ranks(nodes.sparkSession, graph, alpha, iterations, tolerance, every)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     link = edges.select(F.col("source").alias("id"), "target", w.alias("w")).where("w > 0")
     out = link.groupBy("id").agg(F.sum("w").alias("total"))
@@ -98,7 +114,13 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True) ->
     The forward rounds count shortest paths, the backward rounds hand
     dependencies from each level to the one before.
     """
-    step = cut(edges.select(F.col("source").alias("v"), F.col("target").alias("w")).where("v <> w").distinct())
+    once = edges.select("source", "target").where("source <> target").distinct()
+    graph = blocks.arrays(nodes, once)
+    if graph is not None:
+        n = len(graph.ids)
+        total = blocks.dependency_sums(nodes.sparkSession, graph).withColumn("betweenness", F.col("x") / ((n - 1) * (n - 2) if normalized and n > 2 else 1))
+        return nodes.select("id").join(total.drop("x"), "id", "left").na.fill(0.0, ["betweenness"])
+    step = cut(once.toDF("v", "w"))
     level = cut(nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("s", "v")
     while True:
