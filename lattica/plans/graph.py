@@ -83,7 +83,7 @@ def with_test_edges(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Import edges, and one of weight 1 from a test to its file where none is."""
     tests = files.where("test_file IS NOT NULL").select(F.col("test_file").alias("source"), F.col("path").alias("target"), F.col("ord").alias("o"))
     tests = tests.join(files.select(F.col("path").alias("source")), "source", "left_semi").join(edges, ["source", "target"], "left_anti")
-    last = 1 << 40  # after every import
+    last = 1 << 62  # after every import of up to 2**31 files
     return edges.unionByName(tests.select("source", "target", F.array(F.lit("tests")).alias("symbols"), F.lit(False).alias("is_type_only"), F.lit(1).cast("long").alias("weight"), (F.col("o") + last).alias("ord")))
 
 

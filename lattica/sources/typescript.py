@@ -9,10 +9,11 @@ whose class is written down or constructed, of a class, or of a namespace.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import TEST_MARKS, dirname
@@ -20,6 +21,9 @@ from ..functions.lineage import cut
 from ..plans.graph import CodeGraph, build_graph
 from .commits import churn
 
+#: So many of the files that can't be parsed are named in the warning, which counts all.
+NAMED = 10
+
 _TOKEN = re.compile(
     r"(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<str>'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\")|(?P<id>[A-Za-z_$#@][\w$]*)|(?P<num>\d[\w.]*)"
     r"|(?P<op>=>|\?\?=?|&&=?|\|\|=?|\?\.(?!\d)|\.\.\.|[=!]==?|[<>]=|[-+*/%&|^]=|\+\+|--|.)",
@@ -491,11 +495,11 @@ class _File:
                 self.calls.append((caller, "member", chain[0], name))
 
 
-_ROWS = "path string, loc long, decls array<struct<name:string,kind:string,loc:long,complexity:long>>, exports array<struct<name:string,local:string,source:string,star:boolean>>, imports array<struct<source:string,symbols:array<string>,type_only:boolean>>, bindings array<struct<local:string,source:string,name:string>>, calls array<struct<caller:string,how:string,root:string,name:string>>, methods array<struct<cls:string,name:string>>, ord long"
+_ROWS = "path string, loc long, decls array<struct<name:string,kind:string,loc:long,complexity:long>>, exports array<struct<name:string,local:string,source:string,star:boolean>>, imports array<struct<source:string,symbols:array<string>,type_only:boolean>>, bindings array<struct<local:string,source:string,name:string>>, calls array<struct<caller:string,how:string,root:string,name:string>>, methods array<struct<cls:string,name:string>>, ord long, failed boolean"
 
 
 def parse(sources: DataFrame) -> DataFrame:
-    """A row of facts for each of ``sources`` (path, text, ord); what can't be parsed keeps its size alone."""
+    """A row of facts for each of ``sources`` (path, text, ord); what can't be parsed keeps its size alone, and is ``failed``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -503,10 +507,10 @@ def parse(sources: DataFrame) -> DataFrame:
             for path, text, order in zip(batch["path"], batch["text"], batch["ord"]):
                 try:
                     f = _File(text or "")
-                    rows.append((path, f.loc, [(n, *d) for n, d in f.decls.items()], f.exports, f.imports, f.bindings, f.calls, sorted(f.methods), order))
+                    rows.append((path, f.loc, [(n, *d) for n, d in f.decls.items()], f.exports, f.imports, f.bindings, f.calls, sorted(f.methods), order, False))
                 except (IndexError, RecursionError):
-                    rows.append((path, (text or "x")[:-1].count("\n") + 1, [], [], [], [], [], [], order))
-            names = [c.split()[0] for c in ("path", "loc", "decls", "exports", "imports", "bindings", "calls", "methods", "ord")]
+                    rows.append((path, (text or "x")[:-1].count("\n") + 1, [], [], [], [], [], [], order, True))
+            names = [c.split()[0] for c in ("path", "loc", "decls", "exports", "imports", "bindings", "calls", "methods", "ord", "failed")]
             keys = {"decls": ("name", "kind", "loc", "complexity"), "exports": ("name", "local", "source", "star"), "imports": ("source", "symbols", "type_only"), "bindings": ("local", "source", "name"), "calls": ("caller", "how", "root", "name"), "methods": ("cls", "name")}
             data = {n: [[dict(zip(keys[n], x)) for x in r[k]] if n in keys else r[k] for r in rows] for k, n in enumerate(names)}
             yield pd.DataFrame(data)
@@ -555,13 +559,14 @@ def _bind(names: DataFrame, decls: DataFrame, exports: DataFrame) -> DataFrame:
     have = have.join(own, ["to_file", "to_name"], "left").join(passed, ["to_file", "to_name"], "left")
     through = ~F.col("away") & F.col("here").isNull() & F.col("next_file").isNotNull()
     have = cut(have.select("file", "name", F.when(through, F.col("next_file")).otherwise(F.col("to_file")).alias("to_file"), F.when(through, F.col("next_name")).otherwise(F.col("to_name")).alias("to_name"), (F.col("away") | through).alias("away")))
-    step = have.select(F.col("file").alias("to_file"), F.col("name").alias("to_name"), F.col("to_file").alias("f"), F.col("to_name").alias("n"), F.col("away").alias("w"))
     now = have
-    for _ in range(64):  # a longer chain of barrels is a cycle
+    # each round doubles how far a name points, so chains of any length end; what is left then goes round in a circle
+    for _ in range(have.count().bit_length() + 1):
         if now.where("away").isEmpty():
             break
+        step = now.select(F.col("file").alias("to_file"), F.col("name").alias("to_name"), F.col("to_file").alias("f"), F.col("to_name").alias("n"), F.col("away").alias("w"))
         moved = now.where("away").join(step, ["to_file", "to_name"], "left")
-        now = cut(now.where("NOT away").unionByName(moved.where("f IS NOT NULL").select("file", "name", F.col("f").alias("to_file"), F.col("n").alias("to_name"), F.col("w").alias("away"))))
+        now = cut(now.where("NOT away").unionByName(moved.where("f IS NOT NULL").select("file", "name", F.col("f").alias("to_file"), F.col("n").alias("to_name"), F.col("w").alias("away")).distinct()))
     return now.where("NOT away").drop("away")
 
 
@@ -587,9 +592,21 @@ def match_tests(files: DataFrame) -> DataFrame:
     return plain.withColumn("folder", dirname(F.col("path"))).join(direct, "path", "left").join(held, "folder", "left").select("path", F.coalesce("direct", "nearby").alias("test_file"))
 
 
+def _order() -> Column:
+    """Files in their order (of 2**31 at most), then places in a file, which an array's size bounds."""
+    return F.shiftleft("file_ord", 31) + F.col("n")
+
+
 def source_facts(sources: DataFrame, touches: DataFrame | None = None, aliases: list[tuple[str, str]] | None = None) -> dict[str, DataFrame]:
-    """files, exports, imports and call_sites of ``sources`` (path, text, ord); ``touches`` has a row per commit and file."""
+    """files, exports, imports and call_sites of ``sources`` (path, text, ord); ``touches`` has a row per commit and file.
+
+    Files that can't be parsed are named in a warning, and have no facts but their size.
+    """
     parsed = cut(parse(sources))
+    failed = parsed.where("failed")
+    count = failed.count()
+    if count:
+        warnings.warn(f"{count} files can't be parsed: {', '.join(r['path'] for r in failed.select('path').orderBy('path').limit(NAMED).collect())}", stacklevel=2)
     paths = parsed.select("path", "ord")
     file = F.col("path").alias("file")
     decls = parsed.select(file, F.explode("decls").alias("d")).select("file", "d.*")
@@ -607,7 +624,7 @@ def source_facts(sources: DataFrame, touches: DataFrame | None = None, aliases:
         .select("file", "name", F.coalesce("kind", F.lit("variable")).alias("kind"), F.when(F.col("file") == F.col("to_file"), F.coalesce("loc", F.lit(1))).otherwise(1).cast("long").alias("loc"), (F.col("name") == "default").alias("is_default"), F.when(F.col("file") == F.col("to_file"), F.coalesce("complexity", F.lit(0))).otherwise(0).cast("long").alias("complexity"), F.coalesce("n", F.lit(1 << 20)).cast("long").alias("ord"))
     )
     kept = imports.join(where, ["file", "source"])  # neither relative nor aliased: not in ``where``
-    out_imports = kept.select("file", F.coalesce("resolved", "source").alias("resolved"), "symbols", F.col("type_only").alias("is_type_only"), (F.col("file_ord") * 100_000 + F.col("n")).alias("ord"))
+    out_imports = kept.select("file", F.coalesce("resolved", "source").alias("resolved"), "symbols", F.col("type_only").alias("is_type_only"), _order().alias("ord"))
     # what a name means in a file: its own declaration, or what it imports
     local = decls.select("file", F.col("name").alias("root"), F.col("file").alias("to_file"), F.col("name").alias("to_name"))
     brought = names.where("name <> '*'").select("file", F.col("local").alias("root"), F.col("resolved").alias("f"), F.col("name").alias("n"))
@@ -620,7 +637,7 @@ def source_facts(sources: DataFrame, touches: DataFrame | None = None, aliases:
     by_class = met.where("how <> 'name'").join(methods, ["to_file", "to_name", "name"]).select("file", "file_ord", "n", "caller", "to_file", F.concat("to_name", F.lit("."), "name").alias("to_name"))
     spaces = names.where("name = '*'").select("file", F.col("local").alias("root"), F.col("resolved").alias("f"))
     by_space = calls.where("how = 'member'").join(spaces, ["file", "root"]).withColumnRenamed("name", "n2").join(target.withColumnRenamed("n", "n2"), ["f", "n2"]).select("file", "file_ord", "n", "caller", "to_file", "to_name")
-    sites = by_name.unionByName(by_class).unionByName(by_space).groupBy("file", "caller", "to_file", "to_name").agg(F.min(F.col("file_ord") * 100_000 + F.col("n")).alias("ord"))
+    sites = by_name.unionByName(by_class).unionByName(by_space).groupBy("file", "caller", "to_file", "to_name").agg(F.min(_order()).alias("ord"))
     out_sites = sites.select(F.col("file").alias("caller_file"), F.col("caller").alias("caller_symbol"), F.col("to_file").alias("callee_file"), F.col("to_name").alias("callee_symbol"), F.lit("type-resolved").alias("confidence"), "ord")
     test = F.lit(False)
     for mark in TEST_MARKS:

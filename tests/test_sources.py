@@ -223,3 +223,20 @@ def test_streaming_churn(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted((r["start"].day, r["file"], r["churn"]) for r in spark.table("churned").collect()) == [(1, "a", 2), (1, "b", 1), (2, "a", 1), (5, "z", 1)]
+
+
+def test_long_chains_of_re_exports_and_circles(spark):
+    files = [("end.ts", "export function deep() { return 1; }\n"), *((f"b{i:03}.ts", f"export {{ deep }} from './{f'b{i - 1:03}' if i else 'end'}';\n") for i in range(90))]
+    files += [("round.ts", "export { lost } from './back';\n"), ("back.ts", "export { lost } from './round';\n"), ("use.ts", "import { deep } from './b089';\nexport function use() { return deep(); }\n")]
+    graph = typescript.source_graph(spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(files)], "path string, text string, ord long"))
+    exported = {(r["file"], r["name"]): r["kind"] for r in graph.exports.collect()}
+    assert exported["b089.ts", "deep"] == "function" and len(exported) == 92 and not any(n == "lost" for _, n in exported)
+    assert ("use.ts::use", "end.ts::deep") in {(r["source"], r["target"]) for r in graph.call_edges.collect()}
+
+
+def test_files_that_cannot_be_parsed_are_named(spark):
+    texts = [("deep.ts", "export const a = 1;\n" + "`${" * 2000, 0), ("good.ts", "export const b = 1;\n", 1)]
+    with pytest.warns(UserWarning, match="1 files can't be parsed: deep.ts"):
+        graph = typescript.source_graph(spark.createDataFrame(texts, "path string, text string, ord long"))
+    assert {(r["path"], r["loc"]) for r in graph.files.collect()} == {("deep.ts", 2), ("good.ts", 1)}
+    assert [r["file"] for r in graph.exports.collect()] == ["good.ts"]
