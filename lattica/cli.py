@@ -98,16 +98,16 @@ def show(result: DataFrame | dict[str, DataFrame], command: str, as_json: bool)
         return
     for name, df in parts.items():
         print(name)
-        df.show(50, truncate=60)
+        df.show(max(1, df.count()), truncate=60)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     folder = os.path.join(args.root, store.FOLDER)
+    spark = spark or SparkSession.builder.appName("lattica").getOrCreate()
     if args.command == "clean":
-        print("removed" if store.clean(folder) else "nothing to remove")
+        print("removed" if store.clean(spark, folder) else "nothing to remove")
         return 0
-    spark = spark or SparkSession.builder.appName("lattica").getOrCreate()
     if args.command == "status":
         found = store.status(spark, folder)
         print(json.dumps(found) if found else "no saved graph")
