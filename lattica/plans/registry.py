@@ -25,9 +25,9 @@ f AS (SELECT n_nationkey::BIGINT AS ord, r_name || '/' || n_name AS path, r_name
 prs AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
 e AS (SELECT x.path AS source, y.path AS target, n AS weight, x.module AS a, y.module AS b, NULL::VARCHAR AS symbols
-    FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rn FROM prs) JOIN f x ON a = x.ord JOIN f y ON b = y.ord WHERE rn <= 2)"""
-#: All pairs of nations that trade.
-_TRADE_ALL = _TRADE.replace(" WHERE rn <= 2", "")
+    FROM prs JOIN f x ON a = x.ord JOIN f y ON b = y.ord)"""
+#: The two nations that each buys most from.
+_TRADE_TOP = _TRADE.replace("FROM prs JOIN", "FROM (SELECT * FROM prs QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) <= 2) JOIN")
 _PARTS = """
 f AS (SELECT p_partkey AS ord, p_brand || '/' || p_type || '/part_' || p_partkey || CASE WHEN p_size = 1 THEN '.spec' ELSE '' END AS path,
     p_brand || '/' || p_type || '/' AS module, p_size::BIGINT AS loc, p_size = 1 AS is_test, coalesce(churn, 0) AS churn, (1 + p_size % 5)::DOUBLE AS complexity
@@ -113,14 +113,18 @@ def _trade(spark: SparkSession, sf_dir: str) -> q.Analysis:
     return q.Analysis(b.trade(spark, sf_dir).pinned(), rank_tolerance=0.0, rank_rounds=ROUNDS)
 
 
-def _trade_all(spark: SparkSession, sf_dir: str) -> q.Analysis:
-    return q.Analysis(b.trade(spark, sf_dir, None).pinned(), rank_tolerance=0.0, rank_rounds=ROUNDS)
+def _trade_top(spark: SparkSession, sf_dir: str) -> q.Analysis:
+    return q.Analysis(b.trade(spark, sf_dir, 2).pinned(), rank_tolerance=0.0, rank_rounds=ROUNDS)
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> q.Analysis:
     return q.Analysis(b.parts(spark, sf_dir), rank_tolerance=0.0, rank_rounds=ROUNDS)
 
 
+def _cyclic(a: q.Analysis) -> DataFrame:
+    return iterate.cycle_members(a.graph.files, a.graph.edges)
+
+
 def _joined(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.array_join(c, ",").alias(c) if c in columns else F.col(c) for c in df.columns])
 
@@ -211,14 +215,6 @@ def _(spark, sf_dir):
     return q.hotspots(a, "betweenness")
 
 
-@_register("bridge_files", f"""WITH RECURSIVE {_TRADE}, {_PATHS}, nb AS (SELECT source AS file, a AS m, b AS n FROM e UNION ALL SELECT target, b, a FROM e)
-SELECT file, floor(any_value(betweenness) * 100 + 0.5) / 100 AS betweenness, array_to_string(list_sort(list(DISTINCT n)), ',') AS connects, 'Bridge between ' || count(DISTINCT n) || ' otherwise-disconnected modules' AS role
-FROM nb JOIN bt ON path = file WHERE m <> n AND {_six('betweenness')} >= 0.05 GROUP BY file HAVING count(DISTINCT n) >= 2""")
-def _(spark, sf_dir):
-    a = _trade(spark, sf_dir)
-    return _joined(metrics.bridge_files(a.graph, a.betweenness.withColumn("betweenness", half_up(F.col("betweenness"), 6))), "connects")
-
-
 _CLOSURE = "cl AS (SELECT source, target FROM e UNION SELECT cl.source, e.target FROM cl JOIN e ON cl.target = e.source)"
 
 
@@ -234,7 +230,7 @@ def _(spark, sf_dir):
 
 @_register("cycle_members", f"WITH RECURSIVE {_TRADE}, {_CLOSURE} SELECT source AS path FROM cl WHERE source = target")
 def _(spark, sf_dir):
-    return iterate.reach(_trade(spark, sf_dir).graph.edges).where("origin = node").select(F.col("origin").alias("path"))
+    return _cyclic(_trade(spark, sf_dir))
 
 
 @_register("circular_deps")
@@ -253,42 +249,93 @@ def _(spark, sf_dir):
     return q.groups(_trade(spark, sf_dir))
 
 
-# over all pairs of the trade graph
+# over each nation's two main partners: a sparse graph, with bridges and several communities
 
-@_register("file_degrees_all_trade", f"WITH {_TRADE_ALL}, {_DEGREES} SELECT path, fan_in, fan_out, {_six('coupling')} AS coupling FROM d")
+@_register("file_degrees_top_partners", f"WITH {_TRADE_TOP}, {_DEGREES} SELECT path, fan_in, fan_out, {_six('coupling')} AS coupling FROM d")
 def _(spark, sf_dir):
-    g = b.trade(spark, sf_dir, None)
+    g = b.trade(spark, sf_dir, 2)
     return metrics.degrees(g.files, g.edges).withColumn("coupling", half_up(F.col("coupling"), 6))
 
 
-@_register("pagerank_20_all_trade", f"WITH RECURSIVE {_TRADE_ALL}, {_RANK} SELECT path AS id, {_six('page_rank')} AS page_rank FROM rk")
+@_register("pagerank_20_top_partners", f"WITH RECURSIVE {_TRADE_TOP}, {_RANK} SELECT path AS id, {_six('page_rank')} AS page_rank FROM rk")
+def _(spark, sf_dir):
+    return _trade_top(spark, sf_dir).page_rank.select(F.col("path").alias("id"), half_up(F.col("page_rank"), 6).alias("page_rank"))
+
+
+@_register("betweenness_top_partners", f"WITH RECURSIVE {_TRADE_TOP}, {_PATHS} SELECT path AS id, {_six('betweenness')} AS betweenness FROM bt")
+def _(spark, sf_dir):
+    return _trade_top(spark, sf_dir).betweenness.select(F.col("path").alias("id"), half_up(F.col("betweenness"), 6).alias("betweenness"))
+
+
+@_register("blast_radius_top_partners", f"WITH RECURSIVE {_TRADE_TOP}, {_CLOSURE} SELECT path, count(source) AS blast_radius FROM f LEFT JOIN cl ON target = path GROUP BY path")
+def _(spark, sf_dir):
+    return _trade_top(spark, sf_dir).blast_radius
+
+
+@_register("cycle_members_top_partners", f"WITH RECURSIVE {_TRADE_TOP}, {_CLOSURE} SELECT source AS path FROM cl WHERE source = target")
+def _(spark, sf_dir):
+    return _cyclic(_trade_top(spark, sf_dir))
+
+
+_BRIDGES = f"""nb AS (SELECT source AS file, a AS m, b AS n FROM e UNION ALL SELECT target, b, a FROM e)
+SELECT file, floor(any_value(betweenness) * 100 + 0.5) / 100 AS betweenness, array_to_string(list_sort(list(DISTINCT n)), ',') AS connects, 'Bridge between ' || count(DISTINCT n) || ' otherwise-disconnected modules' AS role
+FROM nb JOIN bt ON path = file WHERE m <> n AND {_six('betweenness')} >= 0.05 GROUP BY file HAVING count(DISTINCT n) >= 2"""
+
+
+def _bridges(a: q.Analysis) -> DataFrame:
+    return _joined(metrics.bridge_files(a.graph, a.betweenness.withColumn("betweenness", half_up(F.col("betweenness"), 6))), "connects")
+
+
+@_register("bridge_files", f"WITH RECURSIVE {_TRADE}, {_PATHS}, {_BRIDGES}")
+def _(spark, sf_dir):
+    return _bridges(_trade(spark, sf_dir))
+
+
+@_register("bridge_files_top_partners", f"WITH RECURSIVE {_TRADE_TOP}, {_PATHS}, {_BRIDGES}")
 def _(spark, sf_dir):
-    return _trade_all(spark, sf_dir).page_rank.select(F.col("path").alias("id"), half_up(F.col("page_rank"), 6).alias("page_rank"))
+    return _bridges(_trade_top(spark, sf_dir))
+
+
+@_register("circular_deps_top_partners")
+def _(spark, sf_dir):
+    return _trade_top(spark, sf_dir).cycles
+
+
+@_register("communities_top_partners")
+def _(spark, sf_dir):
+    return q.clusters(_trade_top(spark, sf_dir))
+
+
+# over the parts graph, which grows with the tables
+
+def _nine(x: str) -> str:
+    return f"floor(({x}) * 1e9 + 0.5) / 1e9"
 
 
-@_register("betweenness_all_trade", f"WITH RECURSIVE {_TRADE_ALL}, {_PATHS} SELECT path AS id, {_six('betweenness')} AS betweenness FROM bt")
+@_register("pagerank_20_parts", f"WITH RECURSIVE {_PARTS}, {_RANK} SELECT path AS id, {_nine('page_rank')} AS page_rank FROM rk")
 def _(spark, sf_dir):
-    return _trade_all(spark, sf_dir).betweenness.select(F.col("path").alias("id"), half_up(F.col("betweenness"), 6).alias("betweenness"))
+    return _parts(spark, sf_dir).page_rank.select(F.col("path").alias("id"), half_up(F.col("page_rank"), 9).alias("page_rank"))
 
 
-@_register("blast_radius_all_trade", f"WITH RECURSIVE {_TRADE_ALL}, {_CLOSURE} SELECT path, count(source) AS blast_radius FROM f LEFT JOIN cl ON target = path GROUP BY path")
+@_register("blast_radius_parts", f"WITH RECURSIVE {_PARTS}, {_CLOSURE} SELECT path, count(source) AS blast_radius FROM f LEFT JOIN cl ON target = path GROUP BY path")
 def _(spark, sf_dir):
-    return _trade_all(spark, sf_dir).blast_radius
+    return _parts(spark, sf_dir).blast_radius
 
 
-@_register("cycle_members_all_trade", f"WITH RECURSIVE {_TRADE_ALL}, {_CLOSURE} SELECT source AS path FROM cl WHERE source = target")
+@_register("hotspots_blast_radius_parts", f"WITH RECURSIVE {_PARTS}, {_CLOSURE}, src AS (SELECT path, ord, count(source) AS r FROM f LEFT JOIN cl ON target = path GROUP BY ALL) " + _top("r || ' transitive dependents affected if changed'", "r"))
 def _(spark, sf_dir):
-    return iterate.reach(_trade_all(spark, sf_dir).graph.edges).where("origin = node").select(F.col("origin").alias("path"))
+    return q.hotspots(_parts(spark, sf_dir), "blast_radius")
 
 
-@_register("circular_deps_all_trade")
+@_register("cycle_members_parts", f"WITH RECURSIVE {_PARTS}, {_CLOSURE} SELECT source AS path FROM cl WHERE source = target")
 def _(spark, sf_dir):
-    return _trade_all(spark, sf_dir).cycles
+    return _cyclic(_parts(spark, sf_dir))
 
 
-@_register("communities_all_trade")
+# of ``betweenness_parts`` SQL would have to list all walks; tests hold it against brute force on small graphs
+@_register("betweenness_parts")
 def _(spark, sf_dir):
-    return q.clusters(_trade_all(spark, sf_dir))
+    return _parts(spark, sf_dir).betweenness.select(F.col("path").alias("id"), half_up(F.col("betweenness"), 9).alias("betweenness"))
 
 
 @_register("cohesion_verdicts", f"WITH {_PARTS}, {_MODULES} SELECT module AS path, cohesion, CASE WHEN plain <= 1 THEN 'LEAF' WHEN cohesion >= 0.6 THEN 'COHESIVE' WHEN cohesion >= 0.6 * 0.67 THEN 'MODERATE' ELSE 'JUNK_DRAWER' END AS verdict, files FROM mm")
@@ -442,7 +489,12 @@ def _(spark, sf_dir):
     return q.changes(a, changed)["file_risk"]
 
 
-@_register("changed_affected", f"WITH {_TRADE} SELECT DISTINCT source AS file FROM e WHERE target IN (SELECT path FROM f WHERE ord < 20)")
+@_register("changed_affected", f"""WITH {_TRADE} SELECT DISTINCT source AS file FROM e WHERE target IN (SELECT path FROM f WHERE ord IN (
+    SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)))""")
 def _(spark, sf_dir):
+    """What depends on the nations that ordered when the last order was made."""
     a = _trade(spark, sf_dir)
-    return q.changes(a, a.graph.files.where("ord < 20").select(F.concat(F.lit("repo/"), "path").alias("file")))["affected_files"]
+    orders = b.table(spark, sf_dir, "orders")
+    last = orders.join(F.broadcast(orders.agg(F.max("o_orderdate").alias("o_orderdate"))), "o_orderdate")  # one row
+    buyers = last.join(b.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("long").alias("ord")).distinct()
+    return q.changes(a, a.graph.files.join(buyers, "ord", "left_semi").select(F.concat(F.lit("repo/"), "path").alias("file")))["affected_files"]

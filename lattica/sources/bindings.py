@@ -1,8 +1,8 @@
 """Star-schema tables as facts of a code base, so that every operator has data at scale.
 
 =========  ==============================================================
-trade      nations as files, regions as modules, an edge to each of the two
-           nations that a nation's customers buy from most, or to all
+trade      nations as files, regions as modules, an edge to each nation that a
+           nation's customers buy from
 parts      parts as files of brand/type modules; a returned line imports the
            line before it in its order, by supplier
 supply     suppliers as files, shipped parts as exports, returned ones consumed
@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trade(spark: SparkSession, sf_dir: str, most: int | None = 2) -> CodeGraph:
-    """``most``: partners kept of each nation, None for all."""
+def trade(spark: SparkSession, sf_dir: str, most: int | None = None) -> CodeGraph:
+    """``most``: main partners of each nation, None for all that there are."""
     t = lambda name: table(spark, sf_dir, name)
     nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     people = t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("loc"))
