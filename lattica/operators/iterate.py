@@ -49,11 +49,21 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
 
+def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """id, n, cyclic from arrays; None for graphs that these don't take."""
+    ids = nodes.select(F.col("path").alias("id"))
+    graph = blocks.arrays(ids, edges)
+    if graph is not None:
+        return blocks.reach_counts(nodes.sparkSession, graph)
+    far = blocks.numbered(ids, edges)
+    return None if far is None else blocks.far_reach_counts(far)
+
+
 def blast_radius(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """path, blast_radius: how many files depend on each, directly or not; itself too, if it is on a cycle."""
-    graph = blocks.arrays(nodes.select(F.col("path").alias("id")), reversed_edges(edges))
-    if graph is not None:
-        return blocks.reach_counts(nodes.sparkSession, graph).select(F.col("id").alias("path"), F.col("n").alias("blast_radius"))
+    counts = reach_counts(nodes, reversed_edges(edges))
+    if counts is not None:
+        return counts.select(F.col("id").alias("path"), F.col("n").alias("blast_radius"))
     counted = reach(reversed_edges(edges)).groupBy(F.col("origin").alias("path")).agg(F.count(F.lit(1)).alias("blast_radius"))
     return nodes.select("path").join(counted, "path", "left").na.fill(0, ["blast_radius"])
 
