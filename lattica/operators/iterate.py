@@ -70,9 +70,9 @@ def blast_radius(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """path of the files that lie on a cycle."""
-    graph = blocks.arrays(nodes.select(F.col("path").alias("id")), edges)
-    if graph is not None:
-        return blocks.reach_counts(nodes.sparkSession, graph).where("cyclic").select(F.col("id").alias("path"))
+    counts = reach_counts(nodes, edges)
+    if counts is not None:
+        return counts.where("cyclic").select(F.col("id").alias("path"))
     return reach(edges).where("origin = node").select(F.col("origin").alias("path"))
 
 
