@@ -86,6 +86,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, weight: str | None = "weight",
     graph = blocks.arrays(nodes, valued, weight)
     if graph is not None:
         return blocks.ranks(nodes.sparkSession, graph, alpha, iterations, tolerance, every)
+    far = blocks.numbered(nodes, valued, weight)
+    if far is not None:
+        return blocks.far_ranks(far, alpha, iterations, tolerance, every)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     link = edges.select(F.col("source").alias("id"), "target", w.alias("w")).where("w > 0")
     out = link.groupBy("id").agg(F.sum("w").alias("total"))
