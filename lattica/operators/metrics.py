@@ -37,6 +37,11 @@ def dead_exports(exports: DataFrame, consumed: DataFrame) -> DataFrame:
     return exports.where("NOT is_default").join(consumed, ["file", "name"], "left_anti").select("file", "name", "ord")
 
 
+def unused_exports(exports: DataFrame) -> DataFrame:
+    """``dead_exports`` where the exports tell whether they are ``used``; what isn't known to be unused stays out."""
+    return exports.where("NOT is_default AND NOT used").select("file", "name", "ord")
+
+
 def module_metrics(graph: CodeGraph) -> DataFrame:
     """path, files, loc, exports, internal_deps, external_deps, cohesion, escape_velocity, depends_on, depended_by, ord."""
     counts = graph.exports.groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("n"))

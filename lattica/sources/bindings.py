@@ -57,11 +57,10 @@ def parts(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return build_graph(files, exports, imports, empty(spark, "call_sites"))
 
 
-def supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(exports: file, name, is_default, ord; consumed: file, name)."""
-    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("supplier_"), "l_suppkey").alias("file"), F.concat(F.lit("part_"), "l_partkey").alias("name"), "l_returnflag", F.col("l_partkey").alias("ord"))
-    both = lines.groupBy("file", "name", "ord").agg(F.max(F.col("l_returnflag") == "R").alias("used"))
-    return both.select("file", "name", F.lit(False).alias("is_default"), "ord"), both.where("used").select("file", "name")
+def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, name, is_default, used, ord of the exports; a line tells of its own export whether it is consumed."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max(F.col("l_returnflag") == "R").alias("used"))
+    return lines.select(F.concat(F.lit("supplier_"), "l_suppkey").alias("file"), F.concat(F.lit("part_"), "l_partkey").alias("name"), F.lit(False).alias("is_default"), "used", F.col("l_partkey").alias("ord"))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -31,3 +31,13 @@ def test_query_agrees_with_sql(spark, name):
     want = con.sql(registry.oracle_sql()[name])
     got = registry.queries()[name](spark, TABLES)
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), want.columns)
+
+
+def test_dead_exports_take_one_pass_and_unknown_flags(spark, tmp_path):
+    lines = [(1, 10, "R"), (1, 10, "N"), (1, 11, "N"), (1, 11, None), (2, 10, None), (2, 12, "A"), (None, 12, "R"), (None, 13, "N"), (3, None, "R"), (3, None, "N"), (4, None, "N")]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = registry.queries()["dead_exports"](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.sql(registry.oracle_sql()["dead_exports"]).fetchall()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
